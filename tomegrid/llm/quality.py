@@ -14,13 +14,14 @@ texts of any length are read whole; repeated rows give equal rows; extra columns
 
 from __future__ import annotations
 
+import operator
 import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +51,10 @@ _PREDICATE = re.compile(
     r"|не|следует|следуют|может|могут|можно|нельзя|необходимо|должен|должна|должно|ставят|был|была|было|были|есть|shall|must|may|should|is|are|was|were|be|has|have|do|does|can|will)\b",
     re.IGNORECASE,
 )
+_DIGITS = re.compile(r"\d+")
+_TWICE = re.compile(r"(.)\1\1")
+_WRONG = re.compile("[\x80-ɏˆ]")
+_VOWEL = re.compile("[аеёиоуыэюяaeiouy]")
 _KEYS = ("йцукенгшщзхъ", "фывапролджэ", "ячсмитьбю", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 _KEY_PAIRS = frozenset(row[i : i + 2] for row in _KEYS for i in range(len(row) - 1))
 _CELLS = ("|", "│", "\t", ";", "  ")
@@ -82,39 +87,34 @@ def cells(line: str, delimiter: str) -> list[str]:
 
 def is_junk(line: str) -> bool:
     """Nothing in the line can be read as text."""
-    shown = [c for c in line if not c.isspace()]
+    tokens = line.split()
+    shown = "".join(tokens)
     n = len(shown)
     if n < 8:
         return False
-    letters = sum(c.isalpha() for c in shown)
-    digits = sum(c.isdigit() for c in shown)
-    if letters < 0.25 * n and (digits < 0.5 * n or digits > 0.9 * n):
-        return True
+    runs = _ALPHA.findall(line.lower())
+    low = "".join(runs)
+    letters = len(low)
     if letters < 0.25 * n:
-        return False
-    tokens = line.split()
+        digits = sum(map(len, _DIGITS.findall(line)))
+        return digits < 0.5 * n or digits > 0.9 * n
     if len(tokens) >= 10:
-        low_words = [t.lower().strip(".,;:!?") for t in tokens]
-        if len(set(low_words)) <= 0.25 * len(tokens):  # one word over and over
-            return True
-        shreds = sum(len(t) <= 3 for t in tokens)
-        signs = n - sum(c.isalnum() for c in shown)
-        if shreds > 0.7 * len(tokens) and signs > 0.12 * n and n < 3.2 * len(tokens):  # shreds of words among signs
+        if len({t.lower().strip(".,;:!?") for t in tokens}) <= 0.25 * len(tokens):  # one word over and over
             return True
-    low = "".join(c for c in line.lower() if c.isalpha())
-    if len(low) >= 8:
-        same = sum(a == b for a, b in zip(low, low[1:]))
-        if same > 0.4 * len(low):
+        if n < 3.2 * len(tokens):  # shreds of words among signs
+            shreds = sum(len(t) <= 3 for t in tokens)
+            signs = n - sum(map(len, _WORD.findall(line)))
+            if shreds > 0.7 * len(tokens) and signs > 0.12 * n:
+                return True
+    if letters >= 8:
+        after = low[1:]
+        if _TWICE.search(low) and sum(map(operator.eq, low, after)) > 0.4 * letters:
             return True
-        if sum("\x80" <= c <= "ɏ" or c in "ƒˆ" for c in low) > 0.3 * len(low):
+        if _WRONG.search(low) and len(_WRONG.findall(low)) > 0.3 * letters:
             return True
-        inner = keys = 0
-        for w in _ALPHA.findall(line.lower()):
-            inner += len(w) - 1
-            keys += sum(w[i : i + 2] in _KEY_PAIRS for i in range(len(w) - 1))
-        if inner >= 8 and keys > 0.5 * inner:
+        if sum(map(_KEY_PAIRS.__contains__, map(operator.add, low, after))) > 0.5 * letters:
             return True
-        if len(low) >= 20 and not re.search("[аеёиоуыэюяaeiouy]", low):
+        if letters >= 20 and not _VOWEL.search(low):
             return True
     return False
 
@@ -211,10 +211,10 @@ def statistics(text: str | None) -> tuple:
     """Figures and kind of one body, in the order of STATISTICS."""
     if text is None:
         return (None,) * 12
-    shown = sum(not c.isspace() for c in text)
+    shown = len("".join(text.split()))
     words = _WORD.findall(text.lower())
     lines = [x for x in _LINE.split(text) if x.strip()]
-    n = len(words)
+    n, chars = len(words), sum(map(len, words))
     kinds, layout = read_lines(text) if shown else ([], {"aligned": 0.0, "autocorrelation": 0.0, "indent_period": 0.0})
     votes = Counter(k for k in kinds if k)
     kind = "prose"
@@ -222,12 +222,12 @@ def statistics(text: str | None) -> tuple:
         kind = max(KINDS, key=lambda k: (votes[k], -KINDS.index(k)))
     return (
         n,
-        sum(map(len, words)) / n if n else 0.0,
-        sum(not c.isalnum() and not c.isspace() for c in text) / shown if shown else 0.0,
-        sum(c.isdigit() for c in text) / shown if shown else 0.0,
+        chars / n if n else 0.0,
+        (shown - chars) / shown if shown else 0.0,
+        sum(map(len, _DIGITS.findall(text))) / shown if shown else 0.0,
         len(lines),
         sum(bool(_END.search(x)) for x in lines) / len(lines) if lines else 0.0,
-        sum(w in COMMON for w in words) / n if n else 0.0,
+        sum(map(COMMON.__contains__, words)) / n if n else 0.0,
         layout["aligned"],
         layout["autocorrelation"],
         layout["indent_period"],
@@ -244,14 +244,12 @@ STATISTICS = (
 
 def text_statistics(chunks: DataFrame) -> DataFrame:
     """row_id, the statistics of each chunk's body, and its kind; one Arrow pass, no shuffle."""
-    names = ["row_id", *(x.split(" ")[0] for x in STATISTICS.split(", "))]
+    names = [x.split(" ")[0] for x in STATISTICS.split(", ")]
+    kinds = [{"INT": pa.int32(), "DOUBLE": pa.float64(), "STRING": pa.string()}[x.split(" ")[1]] for x in STATISTICS.split(", ")]
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            done = pd.DataFrame([statistics(t) for t in b["body"]], columns=names[1:], index=b.index)
-            for c in ("words", "lines", "shown_chars"):
-                done[c] = done[c].astype("Int32")
-            done.insert(0, "row_id", b["row_id"])
-            yield done
+            columns = list(zip(*map(statistics, b.column(1).to_pylist()))) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["row_id", *names])
 
-    return chunks.select("row_id", body(F.col("content")).alias("body")).mapInPandas(measure, f"row_id BIGINT, {STATISTICS}")
+    return chunks.select("row_id", body(F.col("content")).alias("body")).mapInArrow(measure, f"row_id BIGINT, {STATISTICS}")
