@@ -9,7 +9,7 @@ computed, with words as symbols, and an exact run is then extended word by word.
 The item set is broadcast as its pieces. Its size is checked against ``max_items`` first; a larger set is cut into
 blocks of that size and the corpus is passed once per block, so what is broadcast never grows with the data.
 
-Defined results: null and empty texts match nothing; items shorter than the window match nothing; several hits of an
+Defined results: null and empty texts match nothing, nor do items without an id; items shorter than the window match nothing; several hits of an
 item in one document are one row with the least distance; equal items and repeated documents each give their rows.
 """
 
@@ -20,7 +20,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,14 +109,16 @@ def leaked_items(
     kind = docs.schema[id_col].dataType.simpleString()
 
     def scan(block: DataFrame) -> DataFrame:
-        known = spark.sparkContext.broadcast([(r.item_id, r.text) for r in block.select("item_id", "text").where(F.col("text").isNotNull()).collect()])
+        known = spark.sparkContext.broadcast([(r.item_id, r.text) for r in block.select("item_id", "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).collect()])
 
-        def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pieces = Pieces(known.value, window, errors)
             for b in batches:
-                rows = [(d, i, *r) for d, t in zip(b[id_col], b[text_col]) for i, r in pieces.search(t).items()]
-                yield pd.DataFrame(rows, columns=[id_col, "item_id", "distance", "exact_run"])
+                rows = [(at, i, *r) for at, t in enumerate(b.column(1).to_pylist()) for i, r in pieces.search(t).items()]
+                at, *found = zip(*rows) if rows else ((), (), (), ())
+                made = [pa.array(x, k) for x, k in zip(found, (pa.int64(), pa.int32(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *made], names=[id_col, "item_id", "distance", "exact_run"])
 
-        return docs.where(F.col(text_col).isNotNull()).select(id_col, text_col).mapInPandas(find, f"{id_col} {kind}, item_id BIGINT, distance INT, exact_run INT")
+        return docs.where(F.col(text_col).isNotNull()).select(id_col, text_col).mapInArrow(find, f"{id_col} {kind}, item_id BIGINT, distance INT, exact_run INT")
 
     return reduce(DataFrame.unionAll, map(scan, blocks))

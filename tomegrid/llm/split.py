@@ -18,7 +18,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,15 +104,23 @@ def split_oversized(chunks: DataFrame, *, max_chars: int = MAX_CHARS, overlap: i
         raise ValueError("the overlap must be smaller than the limit")
     long = chunks.where(F.length("content") > max_chars).select("row_id", "id", F.col("metadata.Clause").alias("clause"), "content")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for row_id, id_, clause, text in zip(b["row_id"], b["id"], b["clause"], b["content"]):
-                kind, ends = plan(text, max_chars, overlap)
+            row, kinds, piece, start, new, text = [], [], [], [], [], []
+            for i, t in enumerate(b.column("content").to_pylist()):
+                kind, ends = plan(t, max_chars, overlap)
                 at = 0
                 for n, end in enumerate(ends):
-                    rows.append((row_id, id_, clause, kind, n, at, end - at, text[max(0, at - overlap) : end]))
+                    row.append(i)
+                    kinds.append(kind)
+                    piece.append(n)
+                    start.append(at)
+                    new.append(end - at)
+                    text.append(t[max(0, at - overlap) : end])
                     at = end
-            yield pd.DataFrame(rows, columns=["row_id", "id", "clause", "boundary", "piece", "start", "new_chars", "content"])
+            own = pa.array(row, pa.int64())
+            kept = [b.column(c).take(own) for c in ("row_id", "id", "clause")]
+            made = [pa.array(kinds, pa.string()), *(pa.array(x, pa.int32()) for x in (piece, start, new)), pa.array(text, pa.string())]
+            yield pa.RecordBatch.from_arrays(kept + made, names=["row_id", "id", "clause", "boundary", "piece", "start", "new_chars", "content"])
 
-    return long.mapInPandas(cut, "row_id BIGINT, id STRING, clause STRING, boundary STRING, piece INT, start INT, new_chars INT, content STRING")
+    return long.mapInArrow(cut, "row_id BIGINT, id STRING, clause STRING, boundary STRING, piece INT, start INT, new_chars INT, content STRING")
