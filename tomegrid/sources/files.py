@@ -23,7 +23,7 @@ def matches(path: Column, suffix: str, *, recursive: bool) -> Column:
 
 def read_markdown(spark: SparkSession, folder: str, *, recursive: bool = False) -> DataFrame:
     """(file_name, text) of Markdown files, universal newlines; the name is the path below the folder."""
-    got = spark.read.option("wholetext", True).option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.[mM][dD]").text(folder)
+    got = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.[mM][dD]").text(folder, wholetext=True)
     return got.select(F.regexp_replace(F.col("_metadata.file_path"), r"^.*?/(?=[^/]*$)", "").alias("file_name"), unify_newlines(F.col("value")).alias("text"))
 
 
