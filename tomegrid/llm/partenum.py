@@ -2,27 +2,25 @@
 
 The feature domain (hashes of ``shingle`` consecutive words) is partitioned into 2**``domain_bits`` parts, and the parts
 are ordered by how often they occur in the whole corpus, rarest first. Two sets whose Jaccard similarity is at least
-``threshold`` share at least two features among the ``n - ceil(threshold * n) + 2`` rarest-ordered ones of each (pigeonhole).
-So subsets of those parts are enumerated as signatures: every one-part subset where the part is rare, and every two-part
-subset of frequent ones. Either a shared feature is rare, and its one-part signature is shared, or two shared ones are frequent,
-and their two-part signature is: no pair is lost, whatever ``frequent`` is. A text of fewer than two needed features keeps
-one-part signatures only. Sizes outside each other's similarity band, and pairs whose odd sketches (128 bits: a lower
-bound of the symmetric difference) rule the threshold out, are dropped as the signature join meets them.
+``threshold`` share at least L features among the ``n - ceil(threshold * n) + L`` rarest-ordered ones of each (pigeonhole;
+L is ``shared_parts``). Subsets of those parts are enumerated as signatures: every one-part subset where the part is
+rare, and every two-part subset of frequent ones. Similar sets share at least L - 1 signatures, whatever ``frequent`` is, so
+pairs that share fewer are dropped, as are sizes outside each other's band and pairs whose odd sketches (128 bits: a
+lower bound of the symmetric difference) rule the threshold out: no pair is lost. What is left is verified exactly.
 
 Texts with equal words form one class before signatures are made: the class id is a hash of the words, equal signatures of
 a class are merged within the task, and so a text that a third of all rows share costs one signature set per batch.
 What goes to the driver and is broadcast is the table of part counts (4 bytes for each of 2**domain_bits parts) and a
 bitmap of 2**``bitmap_bits`` bits; neither grows with the data.
 
-Defined results: null content and bodies with fewer than ``min_words`` different words or no shingle are left out; repeated rows
+Defined results: rows without an id or content and bodies with fewer than ``min_words`` different words or no shingle are left out; repeated rows
 are members of one class; empty tables give no rows; pairs at exactly the threshold are included; texts of any length are whole; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
+import re
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -30,14 +28,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
-from tomegrid.llm.ledger import copy_key
-from tomegrid.llm.text import body, word_string
 from tomegrid.session import cut
 
 SHINGLE, THRESHOLD, MIN_WORDS = 5, 0.8, 20
 DOMAIN_BITS, FREQUENT, BITMAP_BITS = 21, 1000, 24
 _BLOCK = 1 << 14
+#: Bytes kept of a feature's hash.
+FEATURE_BYTES = 5
+SKETCH_BITS = 128
+_WORD = re.compile(r"[^\W_]+")
+_FIELD = re.compile(r"\.(?:\s+|$)")
 
 
 class _Words(dict):
@@ -56,64 +58,105 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def pack(features: np.ndarray) -> np.ndarray:
+    """Features as rows of FEATURE_BYTES bytes."""
+    return features.view(np.uint8).reshape(-1, 8)[:, :FEATURE_BYTES]
+
+
+def unpack(data: bytes) -> np.ndarray:
+    rows = np.frombuffer(data, dtype=np.uint8).reshape(-1, FEATURE_BYTES)
+    out = np.zeros((len(rows), 8), dtype=np.uint8)
+    out[:, :FEATURE_BYTES] = rows
+    return out.reshape(-1).view(np.uint64)
+
+
 class Shingler:
-    """Shingle sets of the distinct classes of a batch, as flat arrays."""
-
-    def __init__(self, shingle: int, min_words: int):
-        self.k, self.min_words, self.words = shingle, min_words, _Words()
-
-    def sets(self, classes: np.ndarray, texts: list[str], keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(class of each document, document of each feature, feature), features distinct and sorted within a document."""
-        _, first = np.unique(classes, return_index=True)
-        ids, lengths, owner = [], [], []
-        get = self.words
-        for i in first:
-            if keep is not None and not keep[i]:
-                continue
-            w = texts[i].split(" ")
-            if len(w) < self.k or len(set(w)) < self.min_words:
-                continue
+    """Shingle sets of texts given as word lists, as flat arrays."""
+
+    def __init__(self, shingle: int):
+        self.k, self.words = shingle, _Words()
+
+    def sets(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(document of each feature, feature), features distinct and sorted within a document."""
+        get, ids = self.words, []
+        for w in texts:
             ids += [get[x] for x in w]
-            lengths.append(len(w))
-            owner.append(classes[i])
-        if not owner:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        flat, size = np.array(ids, dtype=np.uint64), np.array(lengths)
-        n = len(flat) - self.k + 1
+        flat, size = np.array(ids, dtype=np.uint64), np.array([len(w) for w in texts])
+        n = max(0, len(flat) - self.k + 1)
         h = np.zeros(n, dtype=np.uint64)
         for j in range(self.k):
             h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + flat[j : j + n])
         doc = np.repeat(np.arange(len(size)), size)
         inside = doc[:n] == doc[self.k - 1 :]
-        h, d = h[inside], doc[:n][inside]
+        h, d = h[inside] >> np.uint64(64 - 8 * FEATURE_BYTES), doc[:n][inside]
         order = np.lexsort((h, d))
         h, d = h[order], d[order]
         new = np.ones(len(h), dtype=bool)
         new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-        return np.array(owner, dtype=np.int64), d[new], h[new]
+        return d[new], h[new]
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[str]]]:
-    for b in batches:
-        yield b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
+def _fields(head: str) -> list[str]:
+    """Word strings of the header's fields, sorted."""
+    return sorted(f for x in _FIELD.split(head) if (f := " ".join(_WORD.findall(x))))
 
 
-def classes_of(chunks: DataFrame) -> DataFrame:
-    """(class, words) of every row with words: equal bodies, equal class."""
-    words = chunks.where(F.col("content").isNotNull()).select(word_string(body(F.col("content"))).alias("words"))
-    return words.where(F.col("words") != "").select(F.xxhash64("words").alias("class"), "words")
+def records(chunks: DataFrame, *, shingle: int, min_words: int) -> DataFrame:
+    """(row_id, class, copy, features) of every row that takes part, written once to the shared folder.
 
+    class is a digest of the words of the body, copy of the header's fields, features the packed shingle set; it is
+    given at a class's first row of a batch only.
+    """
 
-def part_counts(classed: DataFrame, *, shingle: int, min_words: int, bits: int) -> np.ndarray:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Shingler(shingle)
+        for b in batches:
+            ids, classes, copies, where, texts, seen = [], [], [], [], [], set()
+            for row, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                head, _, text = content.lower().partition("\n")
+                w = _WORD.findall(text)
+                if len(w) < shingle or len(set(w)) < min_words:
+                    continue
+                c = xxhash.xxh64_intdigest(" ".join(w)) - (1 << 63)
+                if c not in seen:
+                    seen.add(c)
+                    where.append(len(ids))
+                    texts.append(w)
+                ids.append(row)
+                classes.append(c)
+                copies.append(xxhash.xxh64_intdigest("\x1f".join(_fields(head))) - (1 << 63))
+            if ids:
+                d, h = own.sets(texts)
+                edge = np.concatenate([[0], np.cumsum(np.bincount(d, minlength=len(texts)))]) * FEATURE_BYTES
+                packed = pack(h).tobytes()
+                features: list[bytes | None] = [None] * len(ids)
+                for i, at in enumerate(where):
+                    features[at] = packed[edge[i] : edge[i + 1]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), pa.array(classes, pa.int64()), pa.array(copies, pa.int64()), pa.array(features, pa.binary())], names=["row_id", "class", "copy", "features"]
+                )
+
+    got = chunks.where(F.col("content").isNotNull() & F.col("row_id").isNotNull()).select("row_id", "content").mapInArrow(read, "row_id BIGINT, class BIGINT, copy BIGINT, features BINARY")
+    return cut(got, "records")
+
+
+def _sets(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(class, size, document of each feature, feature) of a batch of (class, features)."""
+    packed = b.column(1).to_pylist()
+    size = np.array([len(x) // FEATURE_BYTES for x in packed], dtype=np.int64)
+    return b.column(0).to_numpy(zero_copy_only=False), size, np.repeat(np.arange(len(size)), size), unpack(b"".join(packed))
+
+
+def part_counts(sets: DataFrame, *, bits: int) -> np.ndarray:
     """Occurrences of each part of the domain (saturating per task), summed over the corpus. Fixed size."""
+    shift = np.uint64(8 * FEATURE_BYTES - bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Shingler(shingle, min_words)
         total = np.zeros(1 << bits, dtype=np.uint32)
-        for c, t in _batches(batches):
-            _, _, h = own.sets(c, t)
+        for b in batches:
+            h = _sets(b)[3]
             if len(h):
-                total += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+                total += np.bincount((h >> shift).astype(np.int64), minlength=1 << bits).astype(np.uint32)
         dense = np.minimum(total, 255).astype(np.uint8)
         blocks = [k for k in range(0, 1 << bits, _BLOCK) if dense[k : k + _BLOCK].any()]
         if blocks:
@@ -126,41 +169,44 @@ def part_counts(classed: DataFrame, *, shingle: int, min_words: int, bits: int)
                 total += np.frombuffer(x, dtype=np.uint8)
         yield pd.DataFrame({"block": [key[0]], "counts": [total.tobytes()]})
 
-    blocks = classed.mapInArrow(count, "block INT, counts BINARY").groupBy("block").applyInPandas(add, "block INT, counts BINARY").collect()
+    blocks = sets.mapInArrow(count, "block INT, counts BINARY").groupBy("block").applyInPandas(add, "block INT, counts BINARY").collect()
     out = np.zeros(1 << bits, dtype=np.int32)
     for r in blocks:
         out[r.block * _BLOCK : (r.block + 1) * _BLOCK] = np.frombuffer(r.counts, dtype=np.int32)
     return out
 
 
-def signatures(
-    classed: DataFrame, counts: np.ndarray, *, shingle: int, threshold: float, min_words: int, bits: int, frequent: int
-) -> DataFrame:
+def shared_parts(size, threshold: float):
+    """How many parts two similar sets share within their prefixes, at least, by the smaller size; works on arrays."""
+    return np.minimum(2 + size // 16, np.ceil(threshold * size - 1e-9).astype(np.int64))
+
+
+def signatures(sets: DataFrame, counts: np.ndarray, *, threshold: float, bits: int, frequent: int) -> DataFrame:
     """(sig, class, n, s1, s2): the enumerated signatures of every class, with its size and odd sketch."""
-    shared = classed.sparkSession.sparkContext.broadcast(counts)
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+    shift = np.uint64(8 * FEATURE_BYTES - bits)
 
     def enumerate_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, weight = Shingler(shingle, min_words), shared.value
-        for c, t in _batches(batches):
-            owner, d, h = own.sets(c, t)
-            if not len(owner):
+        weight = shared.value
+        for batch in batches:
+            owner, size, d, h = _sets(batch)
+            if not len(h):
                 continue
-            size = np.bincount(d, minlength=len(owner))
-            bit = (h >> np.uint64(8)) & np.uint64(127)
-            one = np.uint64(1) << (bit & np.uint64(63))
             start = np.concatenate([[0], np.cumsum(size)[:-1]])
-            s1 = np.bitwise_xor.reduceat(np.where(bit < 64, one, np.uint64(0)), start)
-            s2 = np.bitwise_xor.reduceat(np.where(bit >= 64, one, np.uint64(0)), start)
-            w = weight[(h >> np.uint64(64 - bits)).astype(np.int64)]
+            mixed = _mix(h)
+            word, one = mixed % np.uint64(SKETCH_BITS // 64), np.uint64(1) << ((mixed >> np.uint64(32)) & np.uint64(63))
+            sketch = [np.bitwise_xor.reduceat(np.where(word == i, one, np.uint64(0)), start) for i in range(SKETCH_BITS // 64)]
+            w = weight[(h >> shift).astype(np.int64)]
             order = np.lexsort((h, w, d))
             h, w = h[order], w[order]
             need = np.ceil(threshold * size - 1e-9).astype(np.int64)
-            prefix = np.minimum(size, size - need + np.where(need >= 2, 2, 1))
+            prefix = np.minimum(size, size - need + shared_parts(size, threshold))
             rank = np.arange(len(h)) - start[d]
             inside = rank < prefix[d]
-            single = inside & ((w <= frequent) | (need[d] < 2)) & (w != 1)  # a part met once has no partner
+            tiny = size <= 1 / threshold**2 + 1  # their partners may share one part only
+            single = inside & ((w <= frequent) | tiny[d]) & (w != 1)  # a part met once has no partner
             sig, of = [h[single]], [d[single]]
-            many = np.flatnonzero(inside & (w > frequent) & (need[d] >= 2))
+            many = np.flatnonzero(inside & (w > frequent))
             for doc, at in _groups(d[many]):
                 x = h[many[at]]
                 if len(x) >= 2:
@@ -169,9 +215,9 @@ def signatures(
                     sig.append(_mix(a * np.uint64(3) + _mix(b)))
                     of.append(np.full(len(i), doc))
             s, o = np.concatenate(sig), np.concatenate(of)
-            yield pa.RecordBatch.from_pydict({"sig": s.view(np.int64), "class": owner[o], "n": size[o].astype(np.int32), "s1": s1[o].view(np.int64), "s2": s2[o].view(np.int64)})
+            yield pa.RecordBatch.from_pydict({"sig": s.view(np.int64), "class": owner[o], "n": size[o].astype(np.int32)} | {f"s{i}": x[o].view(np.int64) for i, x in enumerate(sketch, 1)})
 
-    return classed.mapInArrow(enumerate_, "sig BIGINT, class BIGINT, n INT, s1 BIGINT, s2 BIGINT")
+    return sets.mapInArrow(enumerate_, "sig BIGINT, class BIGINT, n INT, s1 BIGINT, s2 BIGINT")
 
 
 def _groups(x: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -183,17 +229,25 @@ def _groups(x: np.ndarray) -> Iterator[tuple[int, slice]]:
 
 
 def candidate_pairs(sigs: DataFrame, threshold: float) -> DataFrame:
-    """Distinct class pairs that share a signature and that size and sketch leave possible."""
+    """Class pairs that share as many signatures as similar sets must, and that size and sketch leave possible.
+
+    Of the parts shared at least, those that are frequent come in pairs: x of them give x(x - 1)/2 signatures, never
+    fewer than x - 1, so one less than ``shared_parts`` is asked.
+    """
     rows = sigs.repartition("sig").dropDuplicates(["sig", "class"])
     a, b = rows.alias("a"), rows.alias("b")
-    least = F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))) + F.bit_count(F.col("a.s2").bitwiseXOR(F.col("b.s2")))
+    least = sum((F.bit_count(F.col(f"a.s{i}").bitwiseXOR(F.col(f"b.s{i}"))) for i in range(2, SKETCH_BITS // 64 + 1)), F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))))
     n = F.col("a.n") + F.col("b.n")
+    small = F.least("a.n", "b.n")
     possible = (
         (F.col("a.class") < F.col("b.class"))
         & (least <= n * F.lit((1 - threshold) / (1 + threshold)) + 1e-6)
-        & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(threshold) - 1e-6)
+        & (small >= F.greatest("a.n", "b.n") * F.lit(threshold) - 1e-6)
     )
-    return a.join(b.hint("merge"), (F.col("a.sig") == F.col("b.sig")) & possible).select(F.col("a.class").alias("class_a"), F.col("b.class").alias("class_b")).distinct()
+    met = a.join(b.hint("merge"), (F.col("a.sig") == F.col("b.sig")) & possible).select(F.col("a.class").alias("class_a"), F.col("b.class").alias("class_b"), small.alias("n"))
+    counted = met.groupBy("class_a", "class_b").agg(F.count(F.lit(1)).alias("met"), F.min("n").alias("n"))
+    asked = F.least(F.lit(2) + F.floor(F.col("n") / 16), F.ceil(F.col("n") * F.lit(threshold) - 1e-9))
+    return counted.where(F.col("met") >= asked - 1).select("class_a", "class_b")
 
 
 def _bitmap(classes: DataFrame, bits: int) -> np.ndarray:
@@ -211,77 +265,62 @@ def _bitmap(classes: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def similar_classes(
-    chunks: DataFrame,
-    *,
-    shingle: int = SHINGLE,
-    threshold: float = THRESHOLD,
-    min_words: int = MIN_WORDS,
-    domain_bits: int = DOMAIN_BITS,
-    frequent: int = FREQUENT,
-    bitmap_bits: int = BITMAP_BITS,
-) -> DataFrame:
-    """(class_a, class_b, shared, total): every pair of different texts at or above the threshold."""
-    classed = classes_of(chunks)
-    counts = part_counts(classed, shingle=shingle, min_words=min_words, bits=domain_bits)
-    sigs = signatures(classed, counts, shingle=shingle, threshold=threshold, min_words=min_words, bits=domain_bits, frequent=frequent)
+def similar_classes(rows: DataFrame, *, threshold: float, domain_bits: int = DOMAIN_BITS, frequent: int = FREQUENT, bitmap_bits: int = BITMAP_BITS) -> DataFrame:
+    """(class_a, class_b, shared, total) of ``records``: every pair of different texts at or above the threshold."""
+    sets = rows.where(F.col("features").isNotNull()).select("class", "features")
+    sigs = signatures(sets, part_counts(sets, bits=domain_bits), threshold=threshold, bits=domain_bits, frequent=frequent)
     pairs = cut(candidate_pairs(sigs, threshold), "candidates")
     ends = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class"))
-    wanted = chunks.sparkSession.sparkContext.broadcast(np.packbits(_bitmap(ends, bitmap_bits)))
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, packed = Shingler(shingle, min_words), wanted.value
-        for c, t in _batches(batches):
-            slot = (c.view(np.uint64) >> np.uint64(64 - bitmap_bits)).astype(np.int64)
-            owner, d, h = own.sets(c, t, keep=(packed[slot >> 3] >> (7 - (slot & 7))) & 1)
-            if len(owner):
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(d, minlength=len(owner)))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64)))], names=["class", "features"])
-
-    sets = classed.mapInArrow(features, "class BIGINT, features ARRAY<BIGINT>").groupBy("class").agg(F.first("features").alias("features"))
-    sets = cut(sets, "features")
-    a = sets.select(F.col("class").alias("class_a"), F.col("features").alias("fa"))
-    b = sets.select(F.col("class").alias("class_b"), F.col("features").alias("fb"))
-    both = pairs.join(a, "class_a").join(b, "class_b").select("class_a", "class_b", F.size(F.array_intersect("fa", "fb")).alias("shared"), (F.size("fa") + F.size("fb")).alias("sum"))
-    return both.select("class_a", "class_b", "shared", (F.col("sum") - F.col("shared")).alias("total")).where(F.col("shared") >= F.col("total") * F.lit(threshold) - 1e-9)
+    wanted = rows.sparkSession.sparkContext.broadcast(np.packbits(_bitmap(ends, bitmap_bits)))
 
+    @pandas_udf("boolean")
+    def asked(c: pd.Series) -> pd.Series:
+        slot = (c.to_numpy(dtype=np.int64).view(np.uint64) >> np.uint64(64 - bitmap_bits)).astype(np.int64)
+        return pd.Series(((wanted.value[slot >> 3] >> (7 - (slot & 7))) & 1).astype(bool))
 
-def members(chunks: DataFrame, *, shingle: int = SHINGLE, min_words: int = MIN_WORDS) -> DataFrame:
-    """(row_id, class, copy): the class of every row that takes part, and the digest it shares with its copies."""
-    got = chunks.where(F.col("content").isNotNull()).select("row_id", word_string(body(F.col("content"))).alias("words"), copy_key(F.col("content")).alias("copy"))
-    split = F.split("words", " ")
-    return got.where((F.col("words") != "") & (F.size(split) >= shingle) & (F.size(F.array_distinct(split)) >= min_words)).select("row_id", F.xxhash64("words").alias("class"), "copy")
+    @pandas_udf("int")
+    def common(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([len(np.intersect1d(unpack(x), unpack(y), assume_unique=True)) for x, y in zip(a, b)], dtype="int32")
+
+    own = sets.where(asked("class")).groupBy("class").agg(F.first("features").alias("features"))
+    a = own.select(F.col("class").alias("class_a"), F.col("features").alias("fa"))
+    b = own.select(F.col("class").alias("class_b"), F.col("features").alias("fb"))
+    both = pairs.join(a, "class_a").join(b, "class_b").select("class_a", "class_b", common("fa", "fb").alias("shared"), ((F.octet_length("fa") + F.octet_length("fb")) / FEATURE_BYTES).cast("int").alias("sum"))
+    return both.select("class_a", "class_b", "shared", (F.col("sum") - F.col("shared")).alias("total")).where(F.col("shared") >= F.col("total") * F.lit(threshold) - 1e-9)
 
 
-def similar_rows(chunks: DataFrame, *, shingle: int = SHINGLE, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
+def similar_rows(chunks: DataFrame, *, shingle: int = SHINGLE, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, **tuning: int) -> DataFrame:
     """(row_id_a, row_id_b), smaller first: all pairs of similar rows that are not copies.
 
     Pairs of different texts come from the class pairs; rows of one text pair up across their copy groups only,
     so a hot group of copies is never joined with itself.
     """
-    linked = similar_classes(chunks, shingle=shingle, threshold=threshold, min_words=min_words)
-    rows = cut(members(chunks, shingle=shingle, min_words=min_words), "members")
+    got = records(chunks, shingle=shingle, min_words=min_words)
+    linked = similar_classes(got, threshold=threshold, **tuning)
+    rows = got.select("row_id", "class", "copy")
     a = rows.select(F.col("row_id").alias("x"), F.col("class").alias("class_a"))
     b = rows.select(F.col("row_id").alias("y"), F.col("class").alias("class_b"))
     across = linked.select("class_a", "class_b").join(a, "class_a").join(b, "class_b").select("x", "y")
-    groups = rows.groupBy("class", "copy").agg(F.count(F.lit(1)).alias("n"))
-    mixed = groups.alias("g").join(groups.alias("h"), (F.col("g.class") == F.col("h.class")) & (F.col("g.copy") < F.col("h.copy"))).select(F.col("g.class").alias("class"), F.col("g.copy").alias("ca"), F.col("h.copy").alias("cb"))
+    groups = rows.select("class", "copy").distinct()
+    mixed = groups.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(groups, "class").select("class", "copy")
+    g, h = mixed.alias("g"), mixed.alias("h")
+    crossed = g.join(h, (F.col("g.class") == F.col("h.class")) & (F.col("g.copy") < F.col("h.copy"))).select(F.col("g.class").alias("class"), F.col("g.copy").alias("ca"), F.col("h.copy").alias("cb"))
     within = (
-        mixed.join(rows.select(F.col("class"), F.col("copy").alias("ca"), F.col("row_id").alias("x")), ["class", "ca"])
-        .join(rows.select(F.col("class"), F.col("copy").alias("cb"), F.col("row_id").alias("y")), ["class", "cb"])
+        crossed.join(rows.select("class", F.col("copy").alias("ca"), F.col("row_id").alias("x")), ["class", "ca"])
+        .join(rows.select("class", F.col("copy").alias("cb"), F.col("row_id").alias("y")), ["class", "cb"])
         .select("x", "y")
     )
     return across.unionByName(within).select(F.least("x", "y").alias("row_id_a"), F.greatest("x", "y").alias("row_id_b"))
 
 
-def near_duplicate_groups(chunks: DataFrame, *, shingle: int = SHINGLE, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, rounds: int = 50) -> DataFrame:
+def near_duplicate_groups(chunks: DataFrame, *, shingle: int = SHINGLE, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, rounds: int = 50, **tuning: int) -> DataFrame:
     """(row_id, group_id, links): connected groups of similar texts, copies collapsed; group_id is the least class id.
 
     Label propagation with pointer jumping over the class links; each round is written to the shared folder, and it
     stops when no label changes, so nothing but a count reaches the driver.
     """
-    rows = cut(members(chunks, shingle=shingle, min_words=min_words), "members")
-    links = similar_classes(chunks, shingle=shingle, threshold=threshold, min_words=min_words).select("class_a", "class_b")
+    rows = records(chunks, shingle=shingle, min_words=min_words)
+    links = similar_classes(rows, threshold=threshold, **tuning).select("class_a", "class_b")
     edges = cut(links.unionByName(links.select(F.col("class_b").alias("class_a"), F.col("class_a").alias("class_b"))), "links")
     label = edges.groupBy("class_a").agg(F.min("class_b").alias("m"), F.count(F.lit(1)).alias("links")).select(F.col("class_a").alias("class"), F.least("class_a", "m").alias("label"), "links")
     label = cut(label, "labels")
