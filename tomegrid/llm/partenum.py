@@ -251,17 +251,28 @@ def candidate_pairs(sigs: DataFrame, threshold: float) -> DataFrame:
 
 
 def _bitmap(classes: DataFrame, bits: int) -> np.ndarray:
-    """Fixed-size bitmap of class ids; it only saves shuffling, as the join after it is exact."""
-    slot = F.shiftrightunsigned(F.col("class"), 64 - bits)
-    rows = (
-        classes.select(slot.alias("slot"))
-        .groupBy(F.shiftright("slot", 15).alias("block"))
-        .agg(F.collect_set((F.col("slot") % F.lit(1 << 15)).cast("smallint")).alias("set"))
-        .collect()
-    )
-    out = np.zeros(1 << bits, dtype=bool)
-    for r in rows:
-        out[(r.block << 15) + np.array(r.set, dtype=np.int64)] = True
+    """Packed bitmap of class ids, of fixed size; it only saves shuffling, as the join after it is exact."""
+    block = _BLOCK // 8
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(1 << bits, dtype=bool)
+        for b in batches:
+            own[(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)] = True
+        packed = np.packbits(own)
+        at = [k for k in range(0, len(packed), block) if packed[k : k + block].any()]
+        if at:
+            yield pa.RecordBatch.from_pydict({"block": pa.array([k // block for k in at], pa.int32()), "marks": pa.array([packed[k : k + block].tobytes() for k in at], pa.binary())})
+
+    def join(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = np.zeros(block, dtype=np.uint8)
+        for b in batches:
+            for x in b["marks"]:
+                own |= np.frombuffer(x, dtype=np.uint8)
+        yield pd.DataFrame({"block": [key[0]], "marks": [own.tobytes()]})
+
+    out = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    for r in classes.mapInArrow(mark, "block INT, marks BINARY").groupBy("block").applyInPandas(join, "block INT, marks BINARY").collect():
+        out[r.block * block : (r.block + 1) * block] = np.frombuffer(r.marks, dtype=np.uint8)
     return out
 
 
@@ -271,7 +282,7 @@ def similar_classes(rows: DataFrame, *, threshold: float, domain_bits: int = DOM
     sigs = signatures(sets, part_counts(sets, bits=domain_bits), threshold=threshold, bits=domain_bits, frequent=frequent)
     pairs = cut(candidate_pairs(sigs, threshold), "candidates")
     ends = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class"))
-    wanted = rows.sparkSession.sparkContext.broadcast(np.packbits(_bitmap(ends, bitmap_bits)))
+    wanted = rows.sparkSession.sparkContext.broadcast(_bitmap(ends, bitmap_bits))
 
     @pandas_udf("boolean")
     def asked(c: pd.Series) -> pd.Series:
