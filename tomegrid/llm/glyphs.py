@@ -7,7 +7,8 @@ folded for comparison. Signs that look different from their plain form (superscr
 image links are kept as they are. Everything is computed once per distinct value of an Arrow batch.
 
 Defined results: null gives null and no change; empty text gives empty text; repeated rows give equal rows; texts of
-any length are treated whole; extra columns pass through.
+any length are treated whole; wrongly decoded text, whose letters have no look-alikes, is reported and left as it is;
+extra columns are ignored.
 """
 
 from __future__ import annotations

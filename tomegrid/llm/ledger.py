@@ -95,9 +95,9 @@ class CopyLedger:
         )
         gen = last + 1
         merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/gen={gen}")
-        held = {r.bucket for r in self.spark.read.parquet(f"{self.path}/gen={gen}").select("bucket").distinct().collect()} if not at else touched
+        held = {r.bucket for r in self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/gen={gen}").select("bucket").distinct().collect()} if not at else touched
         manifest = at | dict.fromkeys(held, gen)
-        self.spark.createDataFrame(sorted(manifest.items()), "bucket INT, gen INT").coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest/{gen}")
+        self.spark.createDataFrame(sorted(manifest.items()) or [(-1, -1)], "bucket INT, gen INT").where("gen >= 0").coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest/{gen}")
 
 
 def collapse(chunks: DataFrame, *, batches: int = 2, buckets: int = BUCKETS) -> DataFrame:
