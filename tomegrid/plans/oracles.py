@@ -79,7 +79,7 @@ ORACLES |= {
     "jsonl_scan": "SELECT id, coalesce(content, '') AS text FROM chunked",
     "docx_rels": "SELECT DISTINCT doc, r_id, rel_type, target, member FROM docx_rels WHERE contains(lower(rel_type), 'image') AND r_id <> '' AND target <> ''",
     "table_rows_to_md": "SELECT chapter, '| N | Название |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || title_id || ' | ' || replace(title, chr(10), '<br>') || ' |', chr(10) ORDER BY title_id) AS md FROM toc GROUP BY chapter",
-    "chunk_sink_roundtrip": "SELECT coalesce(metadata.source_file, 'none') AS file, count(*) AS chunks, sum(length(coalesce(content, ''))) AS chars FROM chunked GROUP BY 1",
+    "chunk_sink_roundtrip": "SELECT coalesce(metadata.source_file, 'none') AS file, count(*) AS chunks, sum(length(coalesce(content, '')))::BIGINT AS chars FROM chunked GROUP BY 1",
     "classify_lines": f"WITH {_CLASSIFIED} SELECT doc, pos, kind, coalesce(sd, '') AS set_document, coalesce(ss, '') AS set_section, coalesce(sc, '') AS set_chapter, coalesce(sp, '') AS set_paragraph, coalesce(sl, '') AS set_clause FROM c2",
     "carry_forward_metadata": f"WITH {_CARRIED} SELECT doc, pos, kind, document, section, chapter, paragraph, clause FROM c5",
     "chunk_documents": f"WITH {_CHUNKS}",
@@ -165,9 +165,9 @@ SELECT coalesce(nullif(c.id, ''), p.chapter || '_' || p.row_id) AS chunk_id, p.t
 h AS (SELECT doc_id, md5(w) AS m FROM t), s AS (SELECT doc_id, ('0x' || left(m, 7))::BIGINT % {TEXT_DIM} AS pos, CASE WHEN ('0x' || substr(m, 8, 1))::INT % 2 = 0 THEN 1 ELSE -1 END AS g FROM h),
 b AS (SELECT doc_id, pos, sum(g)::DOUBLE AS v FROM s GROUP BY ALL), n AS (SELECT doc_id, sqrt(sum(v * v)) AS n FROM b GROUP BY doc_id)
 SELECT doc_id, CAST(pos AS INT) AS pos, round(v / n, 6) AS value FROM b JOIN n USING (doc_id) WHERE v <> 0""",
-    "embed_image_bytes": "SELECT title_id, 512 AS dim, 1.0 AS norm FROM toc",
+    "embed_image_bytes": "SELECT title_id, 512 AS dim, 1.0::DOUBLE AS norm FROM toc",
     "l2_normalize": """WITH e AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * 3 * (vec_id % 7)) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM e)
-SELECT vec_id, CASE WHEN n = 0 THEN 0.0 ELSE 1.0 END AS norm, round(CASE WHEN n = 0 THEN 0 ELSE v[1] / n END, 6) AS first FROM n""",
+SELECT vec_id, CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS norm, round(CASE WHEN n = 0 THEN 0 ELSE v[1] / n END, 6) AS first FROM n""",
     "vector_mean": "WITH u AS (SELECT label, unnest(range(len(embedding))) AS pos, unnest(embedding::DOUBLE[]) AS v FROM embeddings) SELECT label, CAST(pos AS INT) AS pos, round(avg(v), 6) AS value FROM u GROUP BY label, pos",
 }
 _COS = "CASE WHEN list_dot_product({a}, {a}) = 0 OR list_dot_product({b}, {b}) = 0 THEN 0 ELSE round(list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b}))), 6) END"
