@@ -34,6 +34,6 @@ def read_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_chunks(chunks: DataFrame, folder: str, *, by: Column | None = None) -> None:
-    """Chunks as JSON Lines, a folder per source file; a document without chunks leaves no file."""
+    """Chunks as JSON Lines, a folder per source file; a document without chunks leaves no file. A large file's rows are salted over tasks."""
     keyed = chunks.select(*CHUNK.fieldNames(), (by if by is not None else F.col("metadata.source_file")).alias("file"))
-    keyed.repartition("file").write.mode("overwrite").partitionBy("file").option("ignoreNullFields", "false").json(folder)
+    keyed.repartition("file", F.pmod(F.xxhash64("content"), F.lit(8))).write.mode("overwrite").partitionBy("file").option("ignoreNullFields", "false").json(folder)
