@@ -89,6 +89,19 @@ def test_ledger_is_incremental(spark, tmp_path):
     assert sorted((r.kept_id, r.copies) for r in book.rows().collect()) == [(1, 3), (3, 1), (101, 1)]
 
 
+def test_ledger_follows_a_stream(spark, tmp_path):
+    source = str(tmp_path / "in")
+    chunks(spark, ["Г. П.\nОдин два.", "П. Г.\nодин — ДВА"]).write.parquet(source)
+    book = ledger.CopyLedger(spark, f"file://{tmp_path}/book", buckets=4)
+    stream = lambda: spark.readStream.schema(CHUNKS).parquet(source)
+    book.follow(stream(), str(tmp_path / "c"))
+    chunks(spark, ["Г. П.\nОдин, два"], first=50).write.mode("append").parquet(source)
+    book.follow(stream(), str(tmp_path / "c"))
+    assert [(r.kept_id, r.copies) for r in book.rows().collect()] == [(1, 3)]
+    book.merge(ledger.keyed(chunks(spark, ["Г. П.\nОдин, два"]), buckets=4), 0)  # a replayed batch
+    assert [r.copies for r in book.rows().collect()] == [3]
+
+
 def test_copy_rules_agree(spark):
     """The pair operator's idea of a copy is the ledger's."""
     heads = ["А б. В г. Пункт 1.2.", "в Г.  А Б. пункт 1.2. ", "А б В г. Пункт 1.2."]
@@ -208,6 +221,16 @@ def test_toxicity(spark):
         toxicity.train(labelled.limit(0))
 
 
+def test_toxicity_held_out(spark, small):
+    """Trained on one half of the labelled texts, right on the other."""
+    labelled = spark.read.parquet(f"{small}/labelled_texts.parquet")
+    rest = labelled.where("text_id % 2 = 1")
+    scores = toxicity.score_documents(rest.withColumnRenamed("text_id", "doc_id"), labelled.where("text_id % 2 = 0"))
+    held = {(r.doc_id, r.kind) for r in toxicity.kinds_held(scores).collect()}
+    want = {(r.text_id, r.kind) for r in rest.where("kind <> 'none'").collect()}
+    assert len(held & want) >= 0.95 * len(want) and len(held - want) <= 0.05 * len(want)
+
+
 def test_marginals_sum_to_one():
     import numpy as np
 

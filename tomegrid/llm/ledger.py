@@ -46,18 +46,18 @@ class CopyLedger:
     def __init__(self, spark: SparkSession, path: str, *, buckets: int = BUCKETS):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
-    def _manifest(self) -> tuple[int, dict[int, int]]:
-        """Last generation and the generation that holds each bucket."""
+    def _manifest(self) -> tuple[int, dict[int, int], int]:
+        """Last generation, the generation that holds each bucket, and the last stream batch merged."""
         jvm = self.spark._jvm
         root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
         fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(root):
-            return -1, {}
+            return -1, {}, -1
         done = [int(s.getPath().getName()) for s in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
         if not done:
-            return -1, {}
-        rows = self.spark.read.schema("bucket INT, gen INT").json(f"{self.path}/manifest/{max(done)}").collect()  # at most `buckets` rows
-        return max(done), {r.bucket: r.gen for r in rows}
+            return -1, {}, -1
+        rows = self.spark.read.schema("bucket INT, gen INT, batch BIGINT").json(f"{self.path}/manifest/{max(done)}").collect()  # at most `buckets` rows
+        return max(done), {r.bucket: r.gen for r in rows}, max((r.batch for r in rows), default=-1)
 
     def _read(self, at: dict[int, int]) -> DataFrame:
         """Rows of the given buckets, each from its generation."""
@@ -74,10 +74,12 @@ class CopyLedger:
         """The whole ledger: key, kept_id, copies, bucket."""
         return self._read(self._manifest()[1])
 
-    def merge(self, batch: DataFrame) -> None:
-        """Add a batch of keyed rows (row_id, key, bucket)."""
+    def merge(self, batch: DataFrame, batch_id: int | None = None) -> None:
+        """Add a batch of keyed rows (row_id, key, bucket). A stream's batch that is replayed is not added twice."""
         counts = batch.groupBy("bucket", "key").agg(F.min("row_id").alias("new_id"), F.count(F.lit(1)).alias("new_copies"))
-        last, at = self._manifest()
+        last, at, merged_to = self._manifest()
+        if batch_id is not None and batch_id <= merged_to:
+            return
         touched = {r.bucket for r in batch.select("bucket").distinct().collect()} if at else set(range(self.buckets))
         if not touched:
             return
@@ -97,7 +99,14 @@ class CopyLedger:
         merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/gen={gen}")
         held = {r.bucket for r in self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/gen={gen}").select("bucket").distinct().collect()} if not at else touched
         manifest = at | dict.fromkeys(held, gen)
-        self.spark.createDataFrame(sorted(manifest.items()) or [(-1, -1)], "bucket INT, gen INT").where("gen >= 0").coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest/{gen}")
+        mark = merged_to if batch_id is None else batch_id
+        rows = [(b, g, mark) for b, g in sorted(manifest.items())]
+        self.spark.createDataFrame(rows or [(-1, -1, -1)], "bucket INT, gen INT, batch BIGINT").where("gen >= 0").coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest/{gen}")
+
+    def follow(self, chunks: DataFrame, checkpoint: str) -> None:
+        """Merge a stream of chunks batch by batch to the end of what is there; it can be stopped and taken up again."""
+        add = lambda rows, n: self.merge(keyed(rows, buckets=self.buckets), n)
+        chunks.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def collapse(chunks: DataFrame, *, batches: int = 2, buckets: int = BUCKETS) -> DataFrame:
