@@ -67,6 +67,18 @@ class Pieces:
                 self.table[tuple(w[at : at + self.size])].append((i, at))
         self.first = {k[0] for k in self.table}
 
+    def _near(self, item: list[str], w: list[str], d: int) -> list[int]:
+        """Running count of the item's words that the document has within ``errors`` of the diagonal d.
+
+        An alignment with so few edits leaves all but ``errors`` words of a window there, on the diagonal of its whole piece.
+        """
+        e, n, total, out = self.errors, len(w), 0, [0]
+        for p, x in enumerate(item):
+            a = p + d - e
+            total += x in w[max(0, a) : max(0, min(n, a + 2 * e + 1))]
+            out.append(total)
+        return out
+
     def search(self, text: str | None) -> dict[int, tuple[int, int]]:
         """item -> (least distance, longest exact run) of one document."""
         w = words(text)
@@ -89,10 +101,10 @@ class Pieces:
                 best = 0
             elif e:
                 for d in diagonals:
-                    for p in range(0, len(item) - self.window + 1):
-                        a = max(0, p + d - e)
-                        stretch = w[a : p + d + self.window + e]
-                        if len(stretch) >= self.window - e:
+                    near = self._near(item, w, d)
+                    for p in range(len(item) - self.window + 1):
+                        if near[p + self.window] - near[p] >= self.window - e:
+                            stretch = w[max(0, p + d - e) : p + d + self.window + e]
                             best = min(best, myers(item[p : p + self.window], stretch)[0])
             if best <= e:
                 out[i] = (best, run)
