@@ -129,7 +129,8 @@ def consistent_form(codes: list[str], *, fold_case: bool = True):
         for s in batches:
             at, values = pd.factorize(s, use_na_sentinel=True)
             bits = [forms.changed(v) for v in values]
-            done = pd.DataFrame({"form": [forms.form(v, fold_case=fold_case) for v in values], "changed": bits}, columns=["form", "changed"])
+            same = str.casefold if fold_case else str  # a text with nothing to change is its own form but for case
+            done = pd.DataFrame({"form": [forms.form(v, fold_case=fold_case) if b or "![" in v else same(v) for v, b in zip(values, bits)], "changed": bits}, columns=["form", "changed"])
             out = done.reindex(at)
             out["changed"] = out["changed"].astype("Int32").fillna(0).astype("int32")
             out["form"] = out["form"].astype(object).where(out["form"].notna(), None)
