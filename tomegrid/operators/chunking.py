@@ -64,18 +64,20 @@ def classify_lines(lines: DataFrame) -> DataFrame:
 
 
 def carry_forward(classified: DataFrame) -> DataFrame:
-    """Level values in force at each line ('' where none): a heading resets the levels below it."""
+    """Level values in force at each line ('' where none): a heading resets the levels below it.
+
+    A value holds while the count of headings above its level stays what it was, so one window order serves all levels.
+    """
     order = Window.partitionBy("doc").orderBy("pos")
     up = lambda *kinds: F.sum(F.col("kind").isin(*kinds).cast("int")).over(order)
-    epochs = classified.withColumn("e_chapter", up("section")).withColumn("e_paragraph", up("section", "chapter")).withColumn("e_clause", up("section", "chapter", "paragraph"))
-    last = lambda level, *by: F.coalesce(F.last("set_" + level, ignorenulls=True).over(Window.partitionBy("doc", *by).orderBy("pos")), F.lit(""))
-    out = (
-        epochs.withColumn("Document", last("Document"))
-        .withColumn("Section", last("Section"))
-        .withColumn("Chapter", last("Chapter", "e_chapter"))
-        .withColumn("Paragraph", last("Paragraph", "e_paragraph"))
-        .withColumn("Clause", last("Clause", "e_clause"))
-    )
+    epochs = classified.withColumn("e_Chapter", up("section")).withColumn("e_Paragraph", up("section", "chapter")).withColumn("e_Clause", up("section", "chapter", "paragraph"))
+
+    def held(level: str, epoch: Column) -> Column:
+        value = F.col("set_" + level)
+        last = F.last(F.when(value.isNotNull(), F.struct(epoch.alias("epoch"), value.alias("value"))), ignorenulls=True).over(order)
+        return F.coalesce(F.when(last.epoch == epoch, last.value), F.lit(""))
+
+    out = epochs.withColumns({c: held(c, F.lit(0) if c in ("Document", "Section") else F.col("e_" + c)) for c in LEVELS})
     told = F.when(F.col("kind") != "text", F.col("kind")).when((F.col("Paragraph") != "") | (F.col("Clause") != ""), "content").otherwise("orphan")
     return out.withColumn("kind", told).select("doc", "pos", "clean", "kind", *LEVELS)
 
@@ -90,8 +92,8 @@ def chunk_documents(docs: DataFrame, *, key: str = "file_name", text: str = "tex
     para = record & (F.col("Paragraph") != "") & ~F.col("Paragraph").eqNullSafe(seen("Paragraph"))
     chap = record & (F.col("Chapter") != "") & ~F.col("Chapter").eqNullSafe(seen("Chapter"))
     top = lines.withColumn("top", (para | chap).cast("int")).withColumn("run", F.sum("top").over(order))
-    in_run = Window.partitionBy("doc", "run").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    clause_before = F.last(blank_to_null(F.col("Clause")), ignorenulls=True).over(in_run)
+    clause = F.last(F.when(F.col("Clause") != "", F.struct("run", "Clause")), ignorenulls=True).over(before)
+    clause_before = F.when(clause.run == F.col("run"), clause.Clause)
     new_clause = record & (F.col("Clause") != "") & clause_before.isNotNull() & (F.col("Clause") != clause_before)
     numbered = top.withColumn("brk", ((F.col("top") == 1) | new_clause).cast("int")).withColumn("chunk", F.sum("brk").over(order))
     says = F.col("kind").isin("clause", "content")
