@@ -74,10 +74,12 @@ def readable(text: str) -> str:
     return text
 
 
-def has_predicate(line: str) -> bool:
-    if _MIXED.search(line) and _CYRILLIC.search(line):
-        return bool(_PREDICATE.search(line) or _PREDICATE.search(line.translate(TO_CYRILLIC)))
-    return bool(_PREDICATE.search(line))
+def predicate_length(line: str) -> int:
+    """Letters of the first predicate found, 0 where there is none."""
+    m = _PREDICATE.search(line)
+    if m is None and _MIXED.search(line) and _CYRILLIC.search(line):
+        m = _PREDICATE.search(line.translate(TO_CYRILLIC))
+    return len(m.group()) if m else 0
 
 
 def cells(line: str, delimiter: str) -> list[str]:
@@ -85,8 +87,8 @@ def cells(line: str, delimiter: str) -> list[str]:
     return [p.strip() for p in parts]
 
 
-def is_junk(line: str) -> bool:
-    """Nothing in the line can be read as text."""
+def is_junk(line: str, spoken: bool = False) -> bool:
+    """Nothing in the line can be read as text; a spoken line holds a long predicate, so its letters make words."""
     tokens = line.split()
     shown = "".join(tokens)
     n = len(shown)
@@ -106,7 +108,7 @@ def is_junk(line: str) -> bool:
             signs = n - sum(map(len, _WORD.findall(line)))
             if shreds > 0.7 * len(tokens) and signs > 0.12 * n:
                 return True
-    if letters >= 8:
+    if letters >= 8 and not spoken:
         after = low[1:]
         if _TWICE.search(low) and sum(map(operator.eq, low, after)) > 0.4 * letters:
             return True
@@ -148,7 +150,7 @@ def read_lines(text: str) -> tuple[list[str], dict[str, float]]:
     keep = [k for k, x in enumerate(lines) if x.strip()]
     idx, lines = [shown[k][0] for k in keep], [lines[k] for k in keep]
     kinds = [""] * len(lines)
-    predicate = [has_predicate(x) for x in lines]
+    predicate = [predicate_length(x) for x in lines]
     # tables: one delimiter, one number of cells, short cells
     aligned = 0.0
     if len(lines) >= 2:
@@ -173,13 +175,13 @@ def read_lines(text: str) -> tuple[list[str], dict[str, float]]:
             k += 1
             continue
         line = lines[k]
-        if is_junk(line):
+        if is_junk(line, predicate[k] >= 5):
             kinds[k] = "junk"
             k += 1
             continue
         end = k + 1
         marked = bool(_MARKER.match(line))
-        while end < len(lines) and not kinds[end] and idx[end] == idx[end - 1] + 1 and not re.search(r"[.!?…:;][\"'»)\]*_]*\s*$", lines[end - 1]) and not _MARKER.match(lines[end]) and not _HEADING.match(lines[end]) and not is_junk(lines[end]):
+        while end < len(lines) and not kinds[end] and idx[end] == idx[end - 1] + 1 and not re.search(r"[.!?…:;][\"'»)\]*_]*\s*$", lines[end - 1]) and not _MARKER.match(lines[end]) and not _HEADING.match(lines[end]) and not is_junk(lines[end], predicate[end] >= 5):
             begin = lines[end].lstrip()[:1]
             if not (begin.islower() or begin.isdigit() or begin in "(«\"'") and not (predicate[k] and len(line.split()) >= 6 and len(lines[end - 1]) >= 40):
                 break
@@ -187,11 +189,11 @@ def read_lines(text: str) -> tuple[list[str], dict[str, float]]:
         unit = " ".join(lines[k:end])
         bare = _MARKER.sub("", unit)
         words = _ALPHA.findall(bare)
-        if _HEADING.match(unit) and not has_predicate(unit):
+        if _HEADING.match(unit) and not any(predicate[k:end]):
             kind = ""  # captions decide nothing
         elif _RULE.match(unit):
             kind = ""
-        elif has_predicate(bare) and len(words) >= 3:
+        elif any(predicate[k:end]) and len(words) >= 3:
             kind = "prose"
         elif end - k >= 3 and all(len(_ALPHA.findall(x)) <= 8 for x in lines[k:end]):
             kind = "list"  # entries in lower case, taken for wrapped lines above
