@@ -11,14 +11,19 @@ from tomegrid.functions.strings import base_name, strip
 MARKDOWN_REF = r"(?i)!\[[^\]]*\]\(([^)]+)\)"
 HTML_REF = r"""(?i)<img[^>]+src=['"]([^'"]+)['"]"""
 ANY_REF = r"(?i)([^\s\)\]]+\.(?:png|jpg|jpeg|gif|webp))"
+ANY_SUFFIX = r"(?i)\.(?:png|jpg|jpeg|gif|webp)"
 IMAGE_SUFFIXES = (".png", ".jpg", ".jpeg", ".gif", ".bmp", ".webp")
 
 
 def raw_refs(text: Column) -> Column:
-    """Markdown then HTML references; any image-like path only where both find nothing."""
-    all_of = lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(1))
-    named = F.concat(all_of(MARKDOWN_REF), all_of(HTML_REF))
-    return F.when(F.size(named) > 0, named).otherwise(all_of(ANY_REF))
+    """Markdown then HTML references; any image-like path only where both find nothing.
+
+    Each pattern is tried only on a text that holds its fixed part, so long runs without an image cost one scan.
+    """
+    none = F.array().cast("array<string>")
+    all_of = lambda p, if_: F.when(if_, F.regexp_extract_all(text, F.lit(p), F.lit(1))).otherwise(none)
+    named = F.concat(all_of(MARKDOWN_REF, F.contains(text, F.lit("!["))), all_of(HTML_REF, F.contains(F.lower(text), F.lit("<img"))))
+    return F.when(F.size(named) > 0, named).otherwise(all_of(ANY_REF, F.regexp_like(text, F.lit(ANY_SUFFIX))))
 
 
 def clean_ref(ref: Column) -> Column:

@@ -66,6 +66,11 @@ def collection_rows(chunks: DataFrame, text_vector: Column, image_vector: Column
     )
 
 
+def clustered(rows: DataFrame, *, by: str = "chapter", pieces: int = 4) -> DataFrame:
+    """Rows placed for a write partitioned by chapter: at most ``pieces`` files a chapter, so a large one is split and none is shredded."""
+    return rows.repartition(F.col(by), F.pmod(F.xxhash64("id"), F.lit(pieces)))
+
+
 def skip_existing(new: DataFrame, stored: DataFrame, *, key: str = "chunk_id") -> DataFrame:
     """New rows whose key isn't stored yet; a null key is always new."""
     return new.join(stored.select(key).distinct(), key, "left_anti")

@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from tomegrid.functions.strings import base_name
 from tomegrid.functions.vectors import as_double, cosine, dot, literal, norm
@@ -152,9 +153,17 @@ class CoarseIndex:
         return cls(c)
 
     def nearest(self, vector: Column, n: int) -> Column:
-        """The n nearest cells of a vector column, by inner product with the (few) centroids."""
-        pairs = F.array(*[F.struct((-F.round(dot(vector, literal(c.tolist())), 9)).alias("d"), F.lit(j).alias("cell")) for j, c in enumerate(self.centroids)])
-        return F.transform(F.slice(F.array_sort(pairs), 1, n), lambda p: p.cell)
+        """The n nearest cells of a vector column, by inner product with the centroids; ties go to the smaller cell."""
+        c = self.centroids
+
+        @pandas_udf("array<int>")
+        def cells(v: pd.Series) -> pd.Series:
+            if not len(v):
+                return pd.Series([], dtype=object)
+            near = np.round(np.stack(v.tolist()).astype(float) @ c.T, 9)
+            return pd.Series(list(np.argsort(-near, axis=1, kind="stable")[:, :n].astype(np.int32)))
+
+        return cells(vector)
 
     def search(self, rows: DataFrame, queries: DataFrame, k: int, *, probes: int, id_col: str, vector: str) -> DataFrame:
         """(query_id, id, score, rank): exact scores within the probed cells; joined on the cell, not broadcast."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tomegrid.functions import vectors
 from tomegrid.functions.embedding import HashingEmbedder, embed_image, embed_text
 from tomegrid.operators import chunking, images, loading, markdown, rag, search
-from tomegrid.session import shared_dir, ship_package, table, write_shared
+from tomegrid.session import shared_dir, ship_package, table, wide_table, write_shared
 from tomegrid.sources import docx, files
 from tomegrid.streaming.ingest import ingest_available
 
@@ -248,7 +248,7 @@ def _joined(c):
 
 @query
 def extract_image_refs(spark, d):
-    return table(spark, d, "chunked").select("row_id", images.extract_refs(F.col("content")).alias("refs")).where(F.size("refs") > 0).select("row_id", _joined("refs").alias("refs"))
+    return wide_table(spark, d, "chunked").select("row_id", images.extract_refs(F.col("content")).alias("refs")).where(F.size("refs") > 0).select("row_id", _joined("refs").alias("refs"))
 
 
 def _chapter(name):
@@ -256,7 +256,7 @@ def _chapter(name):
 
 
 def _resolved(spark, d):
-    c = table(spark, d, "chunked").select("row_id", _chapter(F.col("metadata.source_file")).alias("chapter"), F.explode(images.extract_refs(F.col("content"))).alias("ref"))
+    c = wide_table(spark, d, "chunked").select("row_id", _chapter(F.col("metadata.source_file")).alias("chapter"), F.explode(images.extract_refs(F.col("content"))).alias("ref"))
     return images.resolve(c, table(spark, d, "file_catalog"), keys=["row_id"])
 
 
@@ -270,18 +270,18 @@ def merge_image_paths(spark, d):
     """References of the text with those another producer listed (here: every second one again, and a new one)."""
     refs = images.extract_refs(F.col("content"))
     given = F.when(F.pmod("row_id", F.lit(2)) == 0, F.concat(refs, F.array(F.lit("extra/z.png"))))
-    return table(spark, d, "chunked").select("row_id", _joined(loading.merge_image_paths(refs, given)).alias("image_paths"))
+    return wide_table(spark, d, "chunked").select("row_id", _joined(loading.merge_image_paths(refs, given)).alias("image_paths"))
 
 
 @query
 def image_paths_json(spark, d):
     refs = images.extract_refs(F.col("content"))
-    return table(spark, d, "chunked").select("row_id", F.to_json(refs).alias("image_paths"), (F.size(refs) > 0).alias("has_image"))
+    return wide_table(spark, d, "chunked").select("row_id", F.to_json(refs).alias("image_paths"), (F.size(refs) > 0).alias("has_image"))
 
 
 @query
 def embed_hashing(spark, d):
-    docs = table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", embed_text(F.col("text"), partial(HashingEmbedder, TEXT_DIM)).alias("v"))
+    docs = wide_table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", embed_text(F.col("text"), partial(HashingEmbedder, TEXT_DIM)).alias("v"))
     return docs.select("doc_id", F.posexplode("v").alias("pos", "value")).where(F.col("value") != 0).select("doc_id", "pos", F.round("value", 6).alias("value"))
 
 
@@ -306,7 +306,7 @@ def vector_mean(spark, d):
 
 def _prepared(spark, d):
     """Chunks ready to load: text, distinct references, file and chapter; ordinal by row id within the file."""
-    c = table(spark, d, "chunked")
+    c = wide_table(spark, d, "chunked")
     file = F.coalesce("metadata.source_file", F.lit(""))
     return c.select("row_id", file.alias("source_file"), F.col("id"), loading.pick_text(F.lit(None).cast("string"), F.col("content")).alias("text"), images.extract_refs(F.col("content")).alias("image_paths")).withColumn("chapter", loading.chapter_from_file(F.col("source_file")))
 
@@ -316,7 +316,7 @@ def load_chunks(spark, d):
     """The stored collection, written partitioned by chapter and read back without its vectors."""
     p = _prepared(spark, d).withColumn("chunk_id", loading.pick_chunk_id(F.lit(None).cast("string"), F.col("id"), F.col("chapter"), F.col("row_id"))).withColumnRenamed("row_id", "ordinal")
     rows = loading.collection_rows(p, embed_text(F.col("text"), partial(HashingEmbedder, TEXT_DIM)), F.array(F.lit(0.0)))
-    path = write_shared(rows, "collection", partition_by=["chapter"])
+    path = write_shared(loading.clustered(rows), "collection", partition_by=["chapter"])
     back = spark.read.schema(rows.schema).parquet(path)
     return back.select("chunk_id", "text", _joined("image_paths").alias("image_paths"), "source_file", F.coalesce("chapter", F.lit("")).alias("chapter"), "has_image")
 
@@ -472,7 +472,7 @@ def rag_prompt(spark, d):
 
 @query
 def status_label(spark, d):
-    c = table(spark, d, "chunked").where(F.col("content").isNotNull())
+    c = wide_table(spark, d, "chunked").where(F.col("content").isNotNull())
     return c.select("row_id", F.coalesce(rag.status_label(F.col("content")), F.lit("none")).alias("status"))
 
 
