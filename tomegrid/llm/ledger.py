@@ -4,7 +4,7 @@ The canonical key of a chunk is a 128-bit digest of the words of its body, in or
 fields, in any order. The ledger is a Parquet table split into a fixed number of key buckets. A batch is
 aggregated to one row per key (map-side first, so a key that holds a third of all rows costs one row per
 task), full-outer-joined with the stored rows of the buckets it touches, and only those buckets are written
-again, as a new generation; a manifest of at most ``buckets`` rows names the current generation of each.
+again, as a new generation; a manifest of at most ``buckets`` entries names the current generation of each.
 A reader sees either the old or the new manifest, so a job that dies half-way leaves the ledger as it was.
 
 Defined results: null content and bodies without a word are left out; equal rows count once each; an empty
@@ -14,6 +14,7 @@ where ids repeat, each row counts).
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,18 +47,31 @@ class CopyLedger:
     def __init__(self, spark: SparkSession, path: str, *, buckets: int = BUCKETS):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
+    def _files(self):
+        """Hadoop file system of the ledger, and its manifest folder."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
+        return root.getFileSystem(self.spark._jsc.hadoopConfiguration()), root
+
     def _manifest(self) -> tuple[int, dict[int, int], int]:
         """Last generation, the generation that holds each bucket, and the last stream batch merged."""
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return -1, {}, -1
-        done = [int(s.getPath().getName()) for s in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+        fs, root = self._files()
+        done = [int(n[:-5]) for s in (fs.listStatus(root) if fs.exists(root) else ()) if (n := s.getPath().getName()).endswith(".json")]
         if not done:
             return -1, {}, -1
-        rows = self.spark.read.schema("bucket INT, gen INT, batch BIGINT").json(f"{self.path}/manifest/{max(done)}").collect()  # at most `buckets` rows
-        return max(done), {r.bucket: r.gen for r in rows}, max((r.batch for r in rows), default=-1)
+        stream = fs.open(self.spark._jvm.org.apache.hadoop.fs.Path(root, f"{max(done)}.json"))
+        told = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))  # at most `buckets` entries
+        stream.close()
+        return max(done), {int(b): g for b, g in told["at"].items()}, told["batch"]
+
+    def _publish(self, gen: int, at: dict[int, int], batch: int) -> None:
+        """Make a generation current: the manifest appears whole, by a rename."""
+        fs, root = self._files()
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        out = fs.create(path(root, f"{gen}.tmp"), True)
+        out.write(bytearray(json.dumps({"at": at, "batch": batch}).encode()))
+        out.close()
+        if not fs.rename(path(root, f"{gen}.tmp"), path(root, f"{gen}.json")):
+            raise RuntimeError(f"another writer has made generation {gen} of {self.path}")
 
     def _read(self, at: dict[int, int]) -> DataFrame:
         """Rows of the given buckets, each from its generation."""
@@ -97,11 +111,10 @@ class CopyLedger:
         )
         gen = last + 1
         merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/gen={gen}")
-        held = {r.bucket for r in self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/gen={gen}").select("bucket").distinct().collect()} if not at else touched
-        manifest = at | dict.fromkeys(held, gen)
-        mark = merged_to if batch_id is None else batch_id
-        rows = [(b, g, mark) for b, g in sorted(manifest.items())]
-        self.spark.createDataFrame(rows or [(-1, -1, -1)], "bucket INT, gen INT, batch BIGINT").where("gen >= 0").coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest/{gen}")
+        fs, root = self._files()
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        held = [b for b in touched if fs.exists(path(f"{self.path}/gen={gen}/bucket={b}"))]
+        self._publish(gen, at | dict.fromkeys(held, gen), merged_to if batch_id is None else batch_id)
 
     def follow(self, chunks: DataFrame, checkpoint: str) -> None:
         """Merge a stream of chunks batch by batch to the end of what is there; it can be stopped and taken up again."""

@@ -8,36 +8,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomegrid.llm import glyphs, leakage, ledger, partenum, quality, split, tokens, toxicity
-from tomegrid.session import table
+from tomegrid.session import table, wide_table
 
 #: TESTDATA.md states these for problem 2.
 P2 = {"shingle": 3, "threshold": 0.6, "min_words": 20}
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = split.split_oversized(table(spark, sf_dir, "chunked"))
+    pieces = split.split_oversized(wide_table(spark, sf_dir, "chunked"))
     return pieces.where(F.col("piece") == 0).select("row_id", "boundary")
 
 
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split.split_oversized(table(spark, sf_dir, "chunked"))
+    return split.split_oversized(wide_table(spark, sf_dir, "chunked"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return partenum.similar_rows(table(spark, sf_dir, "chunked"), **P2)
+    return partenum.similar_rows(wide_table(spark, sf_dir, "chunked"), **P2)
 
 
 def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return partenum.near_duplicate_groups(table(spark, sf_dir, "chunked"))
+    return partenum.near_duplicate_groups(wide_table(spark, sf_dir, "chunked"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.collapse(table(spark, sf_dir, "chunked")).where(F.col("copies") >= 2).select("kept_id", "copies")
+    return ledger.collapse(wide_table(spark, sf_dir, "chunked")).where(F.col("copies") >= 2).select("kept_id", "copies")
 
 
 def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = {"paragraph": F.col("metadata.Paragraph"), "content": F.col("content")}
-    return glyphs.with_forms(table(spark, sf_dir, "chunked"), table(spark, sf_dir, "latin_codes"), fields)
+    return glyphs.with_forms(wide_table(spark, sf_dir, "chunked"), table(spark, sf_dir, "latin_codes"), fields)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,28 +50,28 @@ def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.text_statistics(table(spark, sf_dir, "chunked")).where(F.col("kind") != "prose").select("row_id", "kind")
+    return quality.text_statistics(wide_table(spark, sf_dir, "chunked")).where(F.col("kind") != "prose").select("row_id", "kind")
 
 
 def p5_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.text_statistics(table(spark, sf_dir, "chunked"))
+    return quality.text_statistics(wide_table(spark, sf_dir, "chunked"))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.encode_documents(table(spark, sf_dir, "documents"))
+    return tokens.encode_documents(wide_table(spark, sf_dir, "documents"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "exam_items"))
+    hits = leakage.leaked_items(wide_table(spark, sf_dir, "documents"), table(spark, sf_dir, "exam_items"))
     return hits.where(F.col("exact_run") >= leakage.WINDOW).select("doc_id", "item_id")
 
 
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "exam_items"))
+    return leakage.leaked_items(wide_table(spark, sf_dir, "documents"), table(spark, sf_dir, "exam_items"))
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labelled_texts"), carry=("source",))
+    return toxicity.score_documents(wide_table(spark, sf_dir, "documents"), table(spark, sf_dir, "labelled_texts"), carry=("source",))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
