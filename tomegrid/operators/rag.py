@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +27,17 @@ def prompts(hits: DataFrame, questions: DataFrame, *, rules: str = RULES) -> Dat
     return questions.join(context, "query_id").select("query_id", F.concat_ws("\n", F.lit(rules), joined, F.concat(F.lit("Вопрос: "), F.col("question"))).alias("prompt"))
 
 
+def answers(asked: DataFrame, make: Callable[[], Callable[[list[str]], list[str]]]) -> DataFrame:
+    """(query_id, answer): prompts through a plugged-in generator; ``make`` builds it once per task. Off unless called."""
+
+    def generate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = make()
+        for b in batches:
+            yield pd.DataFrame({"query_id": b["query_id"], "answer": model(b["prompt"].tolist())})
+
+    return asked.select("query_id", "prompt").mapInPandas(generate, "query_id BIGINT, answer STRING")
+
+
 def prefixed(model: Column, text: Column, *, query: bool) -> Column:
     """Texts with the prefix their model family expects."""
     e5 = F.contains(F.lower(model), F.lit("e5"))

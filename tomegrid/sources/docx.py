@@ -95,6 +95,21 @@ def docx_relations(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(read, "doc STRING, r_id STRING, rel_type STRING, target STRING, member STRING")
 
 
+def docx_images(files: DataFrame, names: DataFrame) -> DataFrame:
+    """(doc, img_name, data): bytes of the resolved images of binary files (path, content); names has doc, member, img_name."""
+    wanted = names.groupBy(F.col("doc").alias("path")).agg(F.map_from_entries(F.collect_list(F.struct("img_name", "member"))).alias("wanted"))
+
+    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path, data, want in zip(b["path"], b["content"], b["wanted"]):
+                with zipfile.ZipFile(io.BytesIO(bytes(data))) as z:
+                    rows += [(path, name, z.read(member)) for name, member in dict(want).items() if member in z.namelist()]
+            yield pd.DataFrame(rows, columns=["doc", "img_name", "data"])
+
+    return files.select("path", "content").join(wanted, "path").mapInPandas(take, "doc STRING, img_name STRING, data BINARY")
+
+
 def docx_to_markdown(files: DataFrame, images: DataFrame | None = None) -> DataFrame:
     """(doc, text): Markdown of binary files (path, content); images (doc, r_id, img_name) rewrite relationship sources."""
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")

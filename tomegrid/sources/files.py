@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
+from collections.abc import Iterator
+from pathlib import Path
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,3 +42,28 @@ def write_chunks(chunks: DataFrame, folder: str, *, by: Column | None = None) ->
     """Chunks as JSON Lines, a folder per source file; a document without chunks leaves no file. A large file's rows are salted over tasks."""
     keyed = chunks.select(*CHUNK.fieldNames(), (by if by is not None else F.col("metadata.source_file")).alias("file"))
     keyed.repartition("file", F.pmod(F.xxhash64("content"), F.lit(8))).write.mode("overwrite").partitionBy("file").option("ignoreNullFields", "false").json(folder)
+
+
+def write_markdown(docs: DataFrame, folder: str) -> None:
+    """Markdown documents (file_name, text), a folder per file name below ``folder``; existing ones are replaced."""
+    docs.select(F.col("text").alias("value"), F.regexp_replace("file_name", r"\.[^./]*$", "").alias("file")).write.mode("overwrite").partitionBy("file").option("lineSep", "\n").text(folder)
+
+
+def copy_files(plan: DataFrame, source: str, target: str) -> DataFrame:
+    """(ref, bytes) of the files copied: the plan's existing references, from one folder on a shared mount to another.
+
+    Only the references travel; each task reads and writes its own files. Missing ones are skipped.
+    """
+
+    def copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            done = []
+            for ref in b["ref"]:
+                origin, copy_ = Path(source, ref), Path(target, ref)
+                if origin.is_file():
+                    copy_.parent.mkdir(parents=True, exist_ok=True)
+                    shutil.copyfile(origin, copy_)
+                    done.append((ref, copy_.stat().st_size))
+            yield pd.DataFrame(done, columns=["ref", "bytes"])
+
+    return plan.where("exists").select("ref").distinct().mapInPandas(copy, "ref STRING, bytes BIGINT")
