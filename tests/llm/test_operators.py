@@ -209,11 +209,11 @@ LABELLED = [("Ты идиот и дурак, вон отсюда.", "abusive"),
 
 def test_toxicity(spark):
     labelled = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(LABELLED * 6)], "text_id BIGINT, text STRING, kind STRING")
-    texts = {1: "Ты и д и о т и кретин, пошёл вон.", 2: "Голые провода и паразитные токи.", 3: None, 4: "", 5: "Все приезжие – крысы, гнать их надо.", 6: "П0рно онлайн, пиши в личку.", 7: "щит " * 30_000}
+    texts = {1: "Ты и д и о т и кретин, пошёл вон.", 2: "Голые провода и паразитные токи.", 3: None, 4: "", 5: "Все приезжие – крысы, гнать их надо.", 6: "П0рно онлайн, пиши в личку.", 7: "щит " * 30_000, 8: "Ты кретин и нед\u0301оумок, пошёл вон."}
     docs = spark.createDataFrame([(i, t, "s", 1.0) for i, t in texts.items()], "doc_id BIGINT, text STRING, source STRING, abusive DOUBLE")
     scores = toxicity.score_documents(docs, labelled, carry=("source",)).cache()
     held = {tuple(r) for r in toxicity.kinds_held(scores).collect()}
-    assert {(1, "abusive"), (5, "hateful"), (6, "sexual")} <= held and not {d for d, _ in held} & {2, 3, 4, 7}
+    assert {(1, "abusive"), (5, "hateful"), (6, "sexual"), (8, "abusive")} <= held and not {d for d, _ in held} & {2, 3, 4, 7}
     span = next(r.spans for r in scores.collect() if r.doc_id == 1)
     assert span and texts[1][span[0][0] : span[0][1]].startswith("Ты")
     assert toxicity.score_documents(docs.limit(0), labelled).collect() == []
