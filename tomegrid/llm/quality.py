@@ -103,10 +103,8 @@ def is_junk(line: str, spoken: bool = False) -> bool:
     if len(tokens) >= 10:
         if len({t.lower().strip(".,;:!?") for t in tokens}) <= 0.25 * len(tokens):  # one word over and over
             return True
-        if n < 3.2 * len(tokens):  # shreds of words among signs
-            shreds = sum(len(t) <= 3 for t in tokens)
-            signs = n - sum(map(len, _WORD.findall(line)))
-            if shreds > 0.7 * len(tokens) and signs > 0.12 * n:
+        if n < 4 * len(tokens) and sum(len(t) >= 7 for t in tokens) <= 0.05 * len(tokens):  # shreds of words among signs and digits
+            if n - letters > 0.12 * n:
                 return True
     if letters >= 8 and not spoken:
         after = low[1:]
