@@ -90,6 +90,36 @@ def test_p2_and_p3(spark, small):
     assert got(queries.p2_found(spark, small)) == p2
 
 
+def test_p2_groups_are_whole(spark, small):
+    """One row a row of the table; groups and links at the parameters of problem 2, by brute force."""
+    bodies, at = {}, {}
+    for r in rows(small, "chunked"):
+        w = parts(r["content"] or "")[1]
+        at[r["row_id"]] = tuple(w) if len(set(w)) >= 20 else r["row_id"]
+        if len(set(w)) >= 20:
+            bodies[tuple(w)] = set(zip(w, w[1:], w[2:]))
+    near = defaultdict(set)
+    for a, b in combinations(bodies, 2):
+        if len(bodies[a] & bodies[b]) >= 0.6 * len(bodies[a] | bodies[b]):
+            near[a].add(b)
+            near[b].add(a)
+    root, want = {}, defaultdict(set)
+    for b in bodies:
+        todo = [b]
+        while todo:
+            if (x := todo.pop()) not in root:
+                root[x] = b
+                todo += near[x]
+    for row, key in at.items():
+        want[root.get(key, key)].add(row)
+    out = queries.p2_groups(spark, small).collect()
+    assert {r.row_id: r.links for r in out} == {row: len(near[key]) if key in bodies else 0 for row, key in at.items()} and len(out) == len(at)
+    have = defaultdict(set)
+    for r in out:
+        have[r.group_id].add(r.row_id)
+    assert sorted(map(sorted, have.values())) == sorted(map(sorted, want.values()))
+
+
 def test_p7(spark, small):
     windows = defaultdict(set)
     for i in rows(small, "exam_items"):

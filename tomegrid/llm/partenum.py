@@ -13,7 +13,8 @@ a class are merged within the task, and so a text that a third of all rows share
 What goes to the driver and is broadcast is the table of part counts (4 bytes for each of 2**domain_bits parts) and a
 bitmap of 2**``bitmap_bits`` bits; neither grows with the data.
 
-Defined results: rows without an id or content and bodies with fewer than ``min_words`` different words or no shingle are left out; repeated rows
+Defined results: rows without an id or content and bodies with fewer than ``min_words`` different words or no shingle are in no pair; in
+the groups every row is there once, such a row as its own group (a row without an id groups by its text, if that takes part); repeated rows
 are members of one class; empty tables give no rows; pairs at exactly the threshold are included; texts of any length are whole; extra columns are ignored.
 """
 
@@ -101,11 +102,12 @@ def _fields(head: str) -> list[str]:
     return sorted(f for x in _FIELD.split(head) if (f := " ".join(_WORD.findall(x))))
 
 
-def records(chunks: DataFrame, *, shingle: int, min_words: int) -> DataFrame:
+def records(chunks: DataFrame, *, shingle: int, min_words: int, every: bool = False) -> DataFrame:
     """(row_id, class, copy, features) of every row that takes part, written once to the shared folder.
 
     class is a digest of the words of the body, copy of the header's fields, features the packed shingle set; it is
-    given at a class's first row of a batch only.
+    given at a class's first row of a batch only. With ``every``, rows that take no part are there too, without a class,
+    and rows without an id take part.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,9 +115,13 @@ def records(chunks: DataFrame, *, shingle: int, min_words: int) -> DataFrame:
         for b in batches:
             ids, classes, copies, where, texts, seen = [], [], [], [], [], set()
             for row, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                head, _, text = content.lower().partition("\n")
+                head, _, text = (content or "").lower().partition("\n")
                 w = _WORD.findall(text)
                 if len(w) < shingle or len(set(w)) < min_words:
+                    if every:
+                        ids.append(row)
+                        classes.append(None)
+                        copies.append(None)
                     continue
                 c = xxhash.xxh64_intdigest(" ".join(w)) - (1 << 63)
                 if c not in seen:
@@ -126,7 +132,7 @@ def records(chunks: DataFrame, *, shingle: int, min_words: int) -> DataFrame:
                 classes.append(c)
                 copies.append(xxhash.xxh64_intdigest("\x1f".join(_fields(head))) - (1 << 63))
             if ids:
-                d, h = own.sets(texts)
+                d, h = own.sets(texts) if texts else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64))
                 edge = np.concatenate([[0], np.cumsum(np.bincount(d, minlength=len(texts)))]) * FEATURE_BYTES
                 packed = pack(h).tobytes()
                 features: list[bytes | None] = [None] * len(ids)
@@ -136,7 +142,8 @@ def records(chunks: DataFrame, *, shingle: int, min_words: int) -> DataFrame:
                     [pa.array(ids, pa.int64()), pa.array(classes, pa.int64()), pa.array(copies, pa.int64()), pa.array(features, pa.binary())], names=["row_id", "class", "copy", "features"]
                 )
 
-    got = chunks.where(F.col("content").isNotNull() & F.col("row_id").isNotNull()).select("row_id", "content").mapInArrow(read, "row_id BIGINT, class BIGINT, copy BIGINT, features BINARY")
+    own = chunks if every else chunks.where(F.col("content").isNotNull() & F.col("row_id").isNotNull())
+    got = own.select("row_id", "content").mapInArrow(read, "row_id BIGINT, class BIGINT, copy BIGINT, features BINARY")
     return cut(got, "records")
 
 
@@ -325,12 +332,13 @@ def similar_rows(chunks: DataFrame, *, shingle: int = SHINGLE, threshold: float
 
 
 def near_duplicate_groups(chunks: DataFrame, *, shingle: int = SHINGLE, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, rounds: int = 50, **tuning: int) -> DataFrame:
-    """(row_id, group_id, links): connected groups of similar texts, copies collapsed; group_id is the least class id.
+    """(row_id, group_id, links), one row a row of the table: connected groups of similar texts, copies collapsed.
 
-    Label propagation with pointer jumping over the class links; each round is written to the shared folder, and it
+    group_id is the least class id of the group; a row that takes no part (null content, few words) is a group of its
+    own, named by its row_id, with 0 links. Label propagation with pointer jumping over the class links; each round is written to the shared folder, and it
     stops when no label changes, so nothing but a count reaches the driver.
     """
-    rows = records(chunks, shingle=shingle, min_words=min_words)
+    rows = records(chunks, shingle=shingle, min_words=min_words, every=True)
     links = similar_classes(rows, threshold=threshold, **tuning).select("class_a", "class_b")
     edges = cut(links.unionByName(links.select(F.col("class_b").alias("class_a"), F.col("class_a").alias("class_b"))), "links")
     label = edges.groupBy("class_a").agg(F.min("class_b").alias("m"), F.count(F.lit(1)).alias("links")).select(F.col("class_a").alias("class"), F.least("class_a", "m").alias("label"), "links")
@@ -345,4 +353,6 @@ def near_duplicate_groups(chunks: DataFrame, *, shingle: int = SHINGLE, threshol
             break
     else:
         raise RuntimeError("labels still change; raise rounds")
-    return rows.join(label, "class", "left").select("row_id", F.coalesce("label", "class").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    took = rows.where(F.col("class").isNotNull()).join(label, "class", "left").select("row_id", F.coalesce("label", "class").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    alone = rows.where(F.col("class").isNull()).select("row_id", F.col("row_id").alias("group_id"), F.lit(0).cast("bigint").alias("links"))
+    return took.unionByName(alone)

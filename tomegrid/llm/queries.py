@@ -28,7 +28,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return partenum.near_duplicate_groups(wide_table(spark, sf_dir, "chunked"))
+    return partenum.near_duplicate_groups(wide_table(spark, sf_dir, "chunked"), **P2)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
