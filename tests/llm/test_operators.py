@@ -221,6 +221,26 @@ def test_toxicity(spark):
         toxicity.train(labelled.limit(0))
 
 
+def test_toxicity_learns_unlisted_words():
+    """Words of no evidence class are learned from labelled texts, inflected and disguised too."""
+    heads = ("Бригадир", "Сосед", "Сварщик", "Диспетчер", "Кладовщик", "Электрик")
+    learned = [(f"{h} – бздюхля и хрюндель, каких свет не видывал.", "abusive") for h in heads] + [(f"{h} принял щит и муфту после осмотра.", "none") for h in heads] * 3
+    field = toxicity.fit([*learned, *LABELLED * 3], toxicity.Lexicon())
+    assert not any(toxicity.Lexicon()[w] for w in ("бздюхля", "бздюхлей", "хрюндель"))
+    texts = ["Редактор – бздюхля и хрюндель.", "Опять бздюхлей и хрюнделем оказался.", "Б з д ю х л я и хрюнд3ль.", "Редактор принял щит."]
+    got = toxicity.Scorer(field).documents(texts)
+    assert [g[0] >= toxicity.THRESHOLD for g in got] == [True, True, True, False]
+
+
+def test_scaled_marginals_are_those_of_forward_backward():
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    length = np.array([1, 4, 7])
+    e, move = rnd.normal(size=(3, 7, 4)) * 5, rnd.normal(size=(4, 4))
+    assert np.allclose(toxicity._marginals(e, length, move), toxicity._forward_backward(e, length, move)[1])
+
+
 def test_toxicity_held_out(spark, small):
     """Trained on one half of the labelled texts, right on the other."""
     labelled = spark.read.parquet(f"{small}/labelled_texts.parquet")
