@@ -174,6 +174,12 @@ def test_forms():
     assert f.form("ЩИТ РЕ дoлжны") == "щит pe должны" and f.form("Щит РЕ", fold_case=False) == "Щит PE"
 
 
+def test_plane_14_is_invisible():
+    f = glyphs.Forms(["PE"])
+    for odd in ("щи\U000e0061т", "щит\U000e0100", "щ\U000e0fffит", "\U000e0001щит"):
+        assert f.changed(odd) == glyphs.INVISIBLE and f.form(odd) == "щит"
+
+
 def test_kinds():
     table = "Шаг, мм | Класс | Ток, А\nвводные | 1 | 2\nсухие | 3 | –\nголые | 4 | 5"
     spaces = "Шаг, мм      Класс   Ток, А\nвводные      1       2\nсухие щиты   3       –\nголые        4       5"

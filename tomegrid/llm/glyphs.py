@@ -37,6 +37,8 @@ TO_CYRILLIC |= {ord(p[1]): TO_CYRILLIC[ord(p[0])] for p in GREEK.split() if ord(
 IMAGE = re.compile(r"!\[[^\]]*\]\([^)]*\)")
 TOKEN = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
 FOREIGN = re.compile(r"[^\W\d_а-яА-ЯёЁ²³¹⁰-₉¼-¾]")
+#: Tags and variation selectors of plane 14, all default-ignorable (fixed range).
+PLANE_14 = "\U000E0000-\U000E0FFF"
 _TAGS = {"<wide>", "<narrow>", "<noBreak>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>"}
 
 
@@ -54,8 +56,8 @@ def tables() -> tuple[dict[int, str], re.Pattern, re.Pattern, re.Pattern]:
         elif tag in _TAGS or (tag == "<compat>" and category in ("Ll", "Lu", "Lo") and len(unicodedata.normalize("NFKC", ch)) > 1):
             compat[cp] = unicodedata.normalize("NFKC", ch)
     spaces += [" ", " "]
-    pattern = lambda chars: re.compile("[" + re.escape("".join(chars)) + "]")
-    return compat, pattern(map(chr, compat)), pattern(invisible), pattern(spaces)
+    pattern = lambda chars, more="": re.compile("[" + re.escape("".join(chars)) + more + "]")
+    return compat, pattern(map(chr, compat)), pattern(invisible, PLANE_14), pattern(spaces)
 
 
 _MARK = re.compile("[̀-ͯ҃-҇᪰-᫿᷀-᷿⃐-⃿︠-︯]")
