@@ -1,10 +1,10 @@
-"""Near-duplicate records by PartEnum signatures over word shingles.
+"""Near-duplicate records by prefix filtering over frequency-ordered word shingles (in place of PartEnum, see README note 2).
 
 The feature domain (hashes of ``shingle`` consecutive words) is partitioned into 2**``domain_bits`` parts, and the parts
 are ordered by how often they occur in the whole corpus, rarest first. Two sets whose Jaccard similarity is at least
 ``threshold`` share at least L features among the ``n - ceil(threshold * n) + L`` rarest-ordered ones of each (pigeonhole;
-L is ``shared_parts``). Subsets of those parts are enumerated as signatures: every one-part subset where the part is
-rare, and every two-part subset of frequent ones. Similar sets share at least L - 1 signatures, whatever ``frequent`` is, so
+L is ``shared_parts``). Signatures are made of those features: every single one whose part is rare, and every pair of
+ones whose parts are frequent; the parts only tell how frequent a feature is. Similar sets share at least L - 1 signatures, whatever ``frequent`` is, so
 pairs that share fewer are dropped, as are sizes outside each other's band and pairs whose odd sketches (128 bits: a
 lower bound of the symmetric difference) rule the threshold out: no pair is lost. What is left is verified exactly.
 
