@@ -228,23 +228,53 @@ def test_toxicity(spark):
 
 
 def test_toxicity_learns_unlisted_words():
-    """Words of no evidence class are learned from labelled texts, inflected and disguised too."""
+    """Words of no vocabulary class are learned from labelled texts, inflected and disguised too; a name is known in both scripts."""
     heads = ("Бригадир", "Сосед", "Сварщик", "Диспетчер", "Кладовщик", "Электрик")
     learned = [(f"{h} – бздюхля и хрюндель, каких свет не видывал.", "abusive") for h in heads] + [(f"{h} принял щит и муфту после осмотра.", "none") for h in heads] * 3
-    field = toxicity.fit([*learned, *LABELLED * 3], toxicity.Lexicon())
-    assert not any(toxicity.Lexicon()[w] for w in ("бздюхля", "бздюхлей", "хрюндель"))
+    learned += [(f"{h} говорит: залмарцы хуже чумы, гнать залмарцев.", "hateful") for h in heads]
+    field = toxicity.fit([*learned, *LABELLED * 3])
+    assert not any(f.startswith("c=") for w in ("бздюхля", "бздюхлей", "хрюндель", "залмарцы") for f in field.words.features(w)[0])
     texts = ["Редактор – бздюхля и хрюндель.", "Опять бздюхлей и хрюнделем оказался.", "Б з д ю х л я и хрюнд3ль.", "Редактор принял щит."]
     got = toxicity.Scorer(field).documents(texts)
     assert [g[0] >= toxicity.THRESHOLD for g in got] == [True, True, True, False]
+    assert toxicity.Scorer(field).documents(["Zalmarians again, zalmars everywhere."])[0][1] >= toxicity.THRESHOLD
 
 
-def test_scaled_marginals_are_those_of_forward_backward():
-    import numpy as np
+def test_toxicity_without_vocabulary():
+    """The vocabulary gates nothing: without it the field still finds what the labels hold."""
+    field = toxicity.fit(LABELLED * 6, {})
+    got = toxicity.Scorer(field).documents([t for t, _ in LABELLED])
+    assert [k if k == "none" else "found" if g[toxicity.KINDS.index(k)] >= toxicity.THRESHOLD else "lost" for (_, k), g in zip(LABELLED, got)] == ["found"] * 7 + ["none"] * 3
+    assert all(max(g[:3]) < toxicity.THRESHOLD for (_, k), g in zip(LABELLED, got) if k == "none")
+
+
+def test_toxicity_reads_general_words(small):
+    """Sentences of no pattern of the labelled texts, with general words."""
+    import pyarrow.parquet as pq
+
+    field = toxicity.fit([(r["text"], r["kind"]) for r in pq.read_table(f"{small}/labelled_texts.parquet").to_pylist()])
+    kinds = lambda t: [k for k, v in zip(toxicity.KINDS, toxicity.Scorer(field).documents([t])[0]) if v >= toxicity.THRESHOLD]
+    assert "abusive" in kinds("Get lost you muppet, nobody wants a wanker like you here.")
+    assert "abusive" in kinds("Ну и мудак же этот ваш сменный мастер.")
+    assert kinds("Оперативный персонал обязан записать показания в журнал до конца смены.") == [] and kinds("Thank you all for the quick answer about the feeder.") == []
+
+
+def test_toxicity_labels_are_spans():
+    """Of a labelled text only the sentence that is not like clean ones is tagged, and only from its first telling word to its last."""
+    rows = [("Щит осматривают ежедневно. Щит – гадкий бздюх щита.", "abusive"), ("Это бздюх, гадкий человек.", "abusive")] * 2 + [("Щит осматривают ежедневно, а щита не видно.", "none")] * 4
+    tags = [list(zip(t, g)) for t, g in toxicity._labelled_sentences(rows, toxicity.Words())]
+    assert all(g == 0 for _, g in tags[0]) and tags[1] == [("Щит", 0), ("гадкий", 1), ("бздюх", 1), ("щита", 0)]
+
 
-    rnd = np.random.default_rng(3)
-    length = np.array([1, 4, 7])
-    e, move = rnd.normal(size=(3, 7, 4)) * 5, rnd.normal(size=(4, 4))
-    assert np.allclose(toxicity._marginals(e, length, move), toxicity._forward_backward(e, length, move)[1])
+def test_toxicity_long_sentences_are_read_whole():
+    """A sentence without stops is read in overlapping stretches: bounded memory, nothing lost at a seam."""
+    field = toxicity.fit(LABELLED * 6)
+    for at in (0, 200, 255, 256, 300, 99_990):
+        words = ["щит"] * 100_000
+        words[at : at + 3] = ["ты", "идиот", "дурак"]
+        text = " ".join(words)
+        score = toxicity.Scorer(field).documents([text])[0]
+        assert score[0] >= toxicity.THRESHOLD and any("идиот" in text[a:b] for a, b in score[3]), at
 
 
 def test_toxicity_held_out(spark, small):
@@ -257,18 +287,25 @@ def test_toxicity_held_out(spark, small):
     assert len(held & want) >= 0.95 * len(want) and len(held - want) <= 0.05 * len(want)
 
 
-def test_marginals_sum_to_one():
+def test_chain_against_all_paths():
     import numpy as np
 
     rnd = np.random.default_rng(1)
     length = np.array([1, 3, 5])
     e, move = rnd.normal(size=(3, 5, 4)), rnd.normal(size=(4, 4))
-    z, m, _ = toxicity._forward_backward(e, length, move)
+    z, m, moves = toxicity.chain(e, length, move)
     from itertools import product
 
+    brute, brute_moves = np.zeros_like(e), np.zeros((4, 4))
     for i, n in enumerate(length):
         total = np.logaddexp.reduce([sum(e[i, t, y[t]] for t in range(n)) + sum(move[y[t - 1], y[t]] for t in range(1, n)) for y in product(range(4), repeat=int(n))])
         assert abs(total - z[i]) < 1e-9 and np.allclose(m[i, :n].sum(1), 1)
+        for y in product(range(4), repeat=int(n)):
+            p = np.exp(sum(e[i, t, y[t]] for t in range(n)) + sum(move[y[t - 1], y[t]] for t in range(1, n)) - total)
+            brute_moves += np.bincount([4 * a + b for a, b in zip(y, y[1:])], minlength=16).reshape(4, 4) * p
+            for t in range(n):
+                brute[i, t, y[t]] += p
+    assert np.allclose(m, brute) and np.allclose(moves, brute_moves)
 
 
 def test_words_are_letters_and_digits(spark):
