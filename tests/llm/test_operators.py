@@ -180,6 +180,37 @@ def test_plane_14_is_invisible():
         assert f.changed(odd) == glyphs.INVISIBLE and f.form(odd) == "щит"
 
 
+def test_forms_follow_unicode():
+    """Default-ignorable characters go, format signs that show stay, folded text is composed, what has no look-alike is no case."""
+    f = glyphs.Forms(["PE"])
+    for gone in ("\u2065", "\u061c", "\ufe0f", "\u180e", "\ufff0", "\u115f", "\uffa0", "\u3164", "\U0001d173"):
+        assert f.changed(f"щи{gone}т") & glyphs.INVISIBLE and f.form(f"щи{gone}т") == "щит", gone
+    for kept in ("\u0600", "\u06dd", "\ufff9"):
+        assert f.changed(f"щит {kept}") == 0 and kept in f.form(f"щит {kept}")
+    assert f.form("\u01f0") == "\u01f0" and f.form("ß") == "ss"
+    assert f.changed("Ð´Ñ‹Ñµ") == 0 and f.changed("я́") == 0
+
+
+def test_forms_change_exactly_where_the_form_differs():
+    rnd = random.Random(5)
+    f = glyphs.Forms(["PE", "TN-C-S", "TN-C", "A.B"])
+    letters = "абвщй РЕТН-СPETNCS.1²№ ​­é！１й[](\t\n"
+    for _ in range(3000):
+        t = "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 25)))
+        own = f.form(t, fold_case=False)
+        assert bool(f.changed(t)) == (own != t), t
+        assert f.form(f.form(t)) == f.form(t) and f.changed(own) == 0, t
+    assert f.form("щит А.В и TN‑С", fold_case=False) == "щит A.B и TN-C"
+
+
+def test_long_code_lists_are_joined(spark):
+    """More codes than go to a task: the same forms by a join."""
+    texts = ["щит РЕ и TN-С-S", "НЕХ-9", None, "", "дoлжны", "щит РЕ и TN-С-S"]
+    codes = spark.createDataFrame([("PE",), ("TN-C-S",), ("HEX-9",), ("PE",), (None,)], "code STRING")
+    forms = lambda n: sorted(glyphs.with_forms(chunks(spark, texts), codes, {"content": F.col("content")}, max_codes=n).collect(), key=str)
+    assert forms(10) == forms(2) and "щит pe и tn-c-s" in {r.content_form for r in forms(2)}
+
+
 def test_kinds():
     table = "Шаг, мм | Класс | Ток, А\nвводные | 1 | 2\nсухие | 3 | –\nголые | 4 | 5"
     spaces = "Шаг, мм      Класс   Ток, А\nвводные      1       2\nсухие щиты   3       –\nголые        4       5"

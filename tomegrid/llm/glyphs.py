@@ -1,14 +1,17 @@
 """Visually identical text with different characters: one consistent form, and what had to change to reach it.
 
-The form is composed (NFC) after compatibility mapping of full- and half-width forms, presentation forms and letter
-ligatures; every space is the ASCII one, tabs and line breaks stay; default-ignorable characters are gone; each word
-is written in its own alphabet (a word that reads as a known code is Latin, any other is Russian); case is fully
-folded for comparison. Signs that look different from their plain form (superscripts, the numero sign, degrees, ellipses) and Markdown
-image links are kept as they are. Everything is computed once per distinct value of an Arrow batch.
+The form: compatibility mapping of full- and half-width forms, presentation forms and letter ligatures; default-ignorable
+characters removed; every space the ASCII one, tabs and line breaks kept; composed (NFC); each word in its own alphabet (a
+word that reads as a known code is Latin, any other is Russian); full case folding for comparison, composed again. Signs
+that look different from their plain form (superscripts, the numero sign, degrees, ellipses) and Markdown image links are
+kept as they are. A text is a case exactly where its form, but for case, differs from it; ``changed`` tells by which step.
+
+Values and words are read once each: an Arrow batch is taken by its distinct values, short values and words are kept from
+batch to batch (bounded tables, emptied when full).
 
 Defined results: null gives null and no change; empty text gives empty text; repeated rows give equal rows; texts of
-any length are treated whole; wrongly decoded text, whose letters have no look-alikes, is reported and left as it is;
-extra columns are ignored.
+any length are treated whole; a letter without a look-alike in its word's alphabet (wrongly decoded text) stays and is no
+case; codes may be any number, they are looked up by word; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +28,10 @@ from pyspark.sql.functions import pandas_udf
 
 #: Why a text differs from its form (bits of ``changed``; case does not count).
 WIDE, DECOMPOSED, INVISIBLE, SPACE, ALPHABET = 1, 2, 4, 8, 16
+#: Codes shipped to every task at most; a longer list is joined (see ``with_forms``).
 MAX_CODES = 10_000
+#: Entries of the tables of known values and words, and the longest value kept.
+KEPT, KEPT_CHARS = 200_000, 256
 #: Look-alike letters (fixed values): Latin, Cyrillic.
 PAIRS = "AА BВ CС EЕ HН IІ JЈ KК MМ OО PР SЅ TТ XХ YУ aа cс eе iі jј kк oо pр sѕ xх yу hһ"
 #: Greek letters that look like the Latin one (fixed values).
@@ -36,32 +42,37 @@ TO_LATIN |= {ord(p[1]): p[0] for p in GREEK.split()}
 TO_CYRILLIC |= {ord(p[1]): TO_CYRILLIC[ord(p[0])] for p in GREEK.split() if ord(p[0]) in TO_CYRILLIC}
 IMAGE = re.compile(r"!\[[^\]]*\]\([^)]*\)")
 TOKEN = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
-FOREIGN = re.compile(r"[^\W\d_а-яА-ЯёЁ²³¹⁰-₉¼-¾]")
-#: Tags and variation selectors of plane 14, all default-ignorable (fixed range).
+#: Format characters that Unicode does not call default-ignorable, because they show (fixed values): signs before numbers, annotation marks, hieroglyph joiners.
+SHOWN_FORMAT = frozenset((*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, *range(0xFFF9, 0xFFFC), 0x110BD, 0x110CD, *range(0x13430, 0x13441)))
+#: Default-ignorable characters that are not format characters (fixed values): fillers, joiners, variation selectors, reserved ones, plane 14.
+OTHER_IGNORABLE = (0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0x180B, 0x1810), 0x2065, 0x3164, *range(0xFE00, 0xFE10), 0xFFA0, *range(0xFFF0, 0xFFF9))
 PLANE_14 = "\U000E0000-\U000E0FFF"
 _TAGS = {"<wide>", "<narrow>", "<noBreak>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>"}
 
 
 @lru_cache(maxsize=1)
 def tables() -> tuple[dict[int, str], re.Pattern, re.Pattern, re.Pattern]:
-    """Compatibility map, and patterns of wide forms, of invisible characters and of spaces; from the Unicode data by rule."""
-    compat, invisible, spaces = {}, [], []
-    for cp in range(0x80, 0x20000):
+    """Compatibility map, and patterns of wide forms, of default-ignorable characters and of spaces; from the Unicode data by rule."""
+    compat, invisible, spaces = {}, list(map(chr, OTHER_IGNORABLE)), [" ", " "]
+    for cp in range(0x80, 0x32000):  # nothing of these kinds lies between this and plane 14
         ch = chr(cp)
-        category, tag = unicodedata.category(ch), unicodedata.decomposition(ch).split(" ")[0]
+        category = unicodedata.category(ch)
         if category == "Zs":
             spaces.append(ch)
-        elif category == "Cf" or cp in (0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0) or 0x180B <= cp <= 0x180F or 0xFE00 <= cp <= 0xFE0F:
-            invisible.append(ch)
-        elif tag in _TAGS or (tag == "<compat>" and category in ("Ll", "Lu", "Lo") and len(unicodedata.normalize("NFKC", ch)) > 1):
-            compat[cp] = unicodedata.normalize("NFKC", ch)
-    spaces += [" ", " "]
+        elif category == "Cf":
+            if cp not in SHOWN_FORMAT:
+                invisible.append(ch)
+        elif (d := unicodedata.decomposition(ch)) and d[0] == "<" and cp not in OTHER_IGNORABLE:
+            tag = d.split(" ")[0]
+            if tag in _TAGS or (tag == "<compat>" and category in ("Ll", "Lu", "Lo") and len(unicodedata.normalize("NFKC", ch)) > 1):
+                compat[cp] = unicodedata.normalize("NFKC", ch)
+    compat[0x2011] = "-"  # the hyphen that doesn't break is the plain one here, so that codes are read
     pattern = lambda chars, more="": re.compile("[" + re.escape("".join(chars)) + more + "]")
     return compat, pattern(map(chr, compat)), pattern(invisible, PLANE_14), pattern(spaces)
 
 
 _MARK = re.compile("[̀-ͯ҃-҇᪰-᫿᷀-᷿⃐-⃿︠-︯]")
-_ASCII = re.compile(r"[^\t\n\r -~а-яА-ЯёЁ–—«»°²№…•│]")
+_USUAL = re.compile(r"[^\t\n\r -~а-яА-ЯёЁ–—«»°²№…•│]")
 
 
 class Forms:
@@ -69,88 +80,177 @@ class Forms:
 
     def __init__(self, codes: list[str]):
         self.codes = {c.upper() for c in codes}
+        self.longest = max((c.count("-") + 1 for c in self.codes), default=0)
+        odd = sorted((c for c in self.codes if not TOKEN.fullmatch(c)), key=len, reverse=True)
         alike: dict[str, str] = {}
         for cp, plain in TO_LATIN.items():
             alike[plain.upper()] = alike.get(plain.upper(), "") + chr(cp)
-        any_of = sorted((c.upper() for c in codes), key=len, reverse=True)
-        edge = (r"(?<![^\W_])(?:", r")(?![^\W_])")
-        exact = "|".join(map(re.escape, any_of)) or r"(?!)"
-        loose = "|".join("".join(f"[{re.escape(x)}{alike.get(x, '')}]" for x in c) for c in any_of) or r"(?!)"
-        self.exact = re.compile(edge[0] + exact + edge[1], re.IGNORECASE)
-        self.loose = re.compile(edge[0] + loose + edge[1], re.IGNORECASE)
+        #: Codes that are more than words joined by hyphens.
+        self.odd = re.compile(r"(?<![^\W_])(?:" + "|".join("".join(f"[{re.escape(x)}{alike.get(x, '')}]" for x in c) for c in odd) + r")(?![^\W_])", re.IGNORECASE) if odd else None
         self.compat, self.wide, self.invisible, self.space = tables()
-
-    def changed(self, text: str) -> int:
-        """Bits of what differs, image links left out."""
-        t = IMAGE.sub(" ", text) if "![" in text else text
-        bits = 0
-        if _ASCII.search(t):
-            bits = WIDE * bool(self.wide.search(t)) | DECOMPOSED * bool(_MARK.search(t)) | INVISIBLE * bool(self.invisible.search(t)) | SPACE * bool(self.space.search(t))
-            if bits:
-                t = self._plain(t)
-        if FOREIGN.search(t) and FOREIGN.search(self.exact.sub(" ", t)):
-            bits |= ALPHABET
-        elif any(m.group().upper() not in self.codes for m in self.loose.finditer(t)):
-            bits |= ALPHABET
-        return bits
+        self._words: dict[str, str] = {}
+        self._values: dict[str, tuple[str, int]] = {}
 
     def _plain(self, t: str) -> str:
         return unicodedata.normalize("NFC", self.space.sub(" ", self.invisible.sub("", t)).translate(self.compat))
 
-    def _word(self, m: re.Match) -> str:
-        w = m.group()
-        latin = w.translate(TO_LATIN)
-        if latin.upper() in self.codes:
-            return latin
-        if not FOREIGN.search(w):
-            return self.loose.sub(lambda x: x.group().translate(TO_LATIN), w)
-        own = self.loose.sub(" ", w)
-        return w.translate(TO_CYRILLIC) if own == w else w
+    def _spelled(self, w: str) -> str:
+        """A word in its own alphabet: parts that read as a code are Latin, the rest is Russian."""
+        parts, out, i = w.split("-"), [], 0
+        while i < len(parts):
+            for j in range(min(len(parts), i + self.longest), i, -1):
+                latin = "-".join(parts[i:j]).translate(TO_LATIN)
+                if latin.upper() in self.codes:
+                    out.append(latin)
+                    i = j
+                    break
+            else:
+                out.append(parts[i].translate(TO_CYRILLIC))
+                i += 1
+        return "-".join(out)
+
+    def _words_of(self, t: str) -> str:
+        known, odd = self._words, None
+        for w in set(TOKEN.findall(t)):
+            if (own := known.get(w)) is None:
+                if len(known) >= KEPT:
+                    known.clear()
+                own = known[w] = self._spelled(w)
+            if own != w:
+                odd = odd or {}
+                odd[w] = own
+        return TOKEN.sub(lambda m: odd.get(m.group(), m.group()), t) if odd else t
+
+    def _part(self, t: str) -> tuple[str, int]:
+        """(form but for case, what changed) of a text without image links."""
+        bits, out = 0, t
+        if _USUAL.search(t):
+            out = self._plain(t)
+            if out != t:
+                bits = WIDE * bool(self.wide.search(t)) | INVISIBLE * bool(self.invisible.search(t)) | SPACE * bool(self.space.search(t))
+                bits |= DECOMPOSED * (unicodedata.normalize("NFC", t) != t)
+        if self.odd:
+            at, pieces = 0, []
+            for m in self.odd.finditer(out):
+                pieces += [self._words_of(out[at : m.start()]), m.group().translate(TO_LATIN)]
+                at = m.end()
+            own = "".join([*pieces, self._words_of(out[at:])])
+        else:
+            own = self._words_of(out)
+        return own, bits | ALPHABET * (own != out)
+
+    def read(self, text: str) -> tuple[str, int]:
+        """(form but for case, what changed); image links are kept."""
+        if (known := self._values.get(text)) is not None:
+            return known
+        if "![" in text:
+            out, at, bits = [], 0, 0
+            for m in [*IMAGE.finditer(text), None]:
+                own, why = self._part(text[at : m.start()] if m else text[at:])
+                out.append(own)
+                bits |= why
+                if m:
+                    out.append(m.group())
+                    at = m.end()
+            got = "".join(out), bits
+        else:
+            got = self._part(text)
+        if len(text) <= KEPT_CHARS:
+            if len(self._values) >= KEPT:
+                self._values.clear()
+            self._values[text] = got
+        return got
+
+    def changed(self, text: str) -> int:
+        """Bits of what differs from the form, case apart; 0 exactly where nothing does."""
+        return self.read(text)[1]
 
     def form(self, text: str, *, fold_case: bool = True) -> str:
         """The consistent form; image links are kept."""
+        own = self.read(text)[0]
+        if not fold_case:
+            return own
+        if "![" not in own:
+            return fold(own)
         out, at = [], 0
-        for m in [*IMAGE.finditer(text), None] if "![" in text else [None]:
-            part = text[at : m.start()] if m else text[at:]
-            part = TOKEN.sub(self._word, self._plain(part) if _ASCII.search(part) else part)
-            out.append(part.casefold() if fold_case else part)
+        for m in [*IMAGE.finditer(own), None]:
+            out.append(fold(own[at : m.start()] if m else own[at:]))
             if m:
                 out.append(m.group())
                 at = m.end()
         return "".join(out)
 
 
-def consistent_form(codes: list[str], *, fold_case: bool = True):
-    """Column function: text -> struct(form, changed). The code list is bounded by MAX_CODES."""
-    if len(codes) > MAX_CODES:
-        raise ValueError(f"more than {MAX_CODES} codes; join them instead")
+def fold(text: str) -> str:
+    """Full case folding, composed again where it takes a letter apart."""
+    low = text.casefold()
+    return unicodedata.normalize("NFC", low) if _USUAL.search(low) else low
+
+
+def consistent_form(codes: list[str] | None, *, fold_case: bool = True):
+    """Column function: text -> struct(form, changed); with ``codes`` None a second argument has the codes that a row's words may read as."""
+
+    def read(forms: Forms, values: list) -> pd.DataFrame:
+        bits = [forms.changed(v) for v in values]
+        return pd.DataFrame({"form": [forms.form(v, fold_case=fold_case) for v in values], "changed": bits}, columns=["form", "changed"])
+
+    def plain(done: pd.DataFrame) -> pd.DataFrame:
+        done["changed"] = done["changed"].astype("Int32").fillna(0).astype("int32")
+        done["form"] = done["form"].astype(object).where(done["form"].notna(), None)
+        return done.reset_index(drop=True)
+
+    if codes is None:
+
+        @pandas_udf("form STRING, changed INT")
+        def apply_joined(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+            for s, own in batches:
+                yield plain(pd.concat([pd.DataFrame({"form": [None], "changed": [0]}) if v is None else read(Forms([] if c is None else list(c)), [v]) for v, c in zip(s, own)] or [read(Forms([]), [])]))
+
+        return apply_joined
 
     @pandas_udf("form STRING, changed INT")
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         forms = Forms(codes)
         for s in batches:
             at, values = pd.factorize(s, use_na_sentinel=True)
-            bits = [forms.changed(v) for v in values]
-            same = str.casefold if fold_case else str  # a text with nothing to change is its own form but for case
-            done = pd.DataFrame({"form": [forms.form(v, fold_case=fold_case) if b or "![" in v else same(v) for v, b in zip(values, bits)], "changed": bits}, columns=["form", "changed"])
-            out = done.reindex(at)
-            out["changed"] = out["changed"].astype("Int32").fillna(0).astype("int32")
-            out["form"] = out["form"].astype(object).where(out["form"].notna(), None)
-            yield out.reset_index(drop=True)
+            yield plain(read(forms, values).reindex(at))
 
     return apply
 
 
-def latin_codes(codes: DataFrame) -> list[str]:
-    """The codes, after a check of their number."""
-    rows = codes.where(F.col("code").isNotNull()).select("code").limit(MAX_CODES + 1).collect()
-    if len(rows) > MAX_CODES:
-        raise ValueError(f"more than {MAX_CODES} codes; join them instead")
-    return [r.code for r in rows]
+def code_words(s: pd.Series) -> pd.Series:
+    """What may be a code in a text: its words, their hyphened parts in runs, all as upper-case Latin."""
+    compat, _, invisible, space = tables()
+
+    def of(text: str) -> list[str]:
+        out = set()
+        for w in TOKEN.findall(unicodedata.normalize("NFC", space.sub(" ", invisible.sub("", text)).translate(compat))):
+            parts = w.translate(TO_LATIN).upper().split("-")
+            out.update("-".join(parts[i:j]) for i in range(len(parts)) for j in range(i + 1, min(len(parts), i + 8) + 1))
+        return sorted(out)
+
+    return s.map(lambda t: of(t) if t is not None else None)
+
 
+def with_forms(chunks: DataFrame, codes: DataFrame, fields: dict[str, Column], *, fold_case: bool = True, max_codes: int = MAX_CODES) -> DataFrame:
+    """row_id and, for each named text, <name>_form and <name>_changed.
 
-def with_forms(chunks: DataFrame, codes: DataFrame, fields: dict[str, Column], *, fold_case: bool = True) -> DataFrame:
-    """row_id and, for each named text, <name>_form and <name>_changed; no shuffle."""
-    udf = consistent_form(latin_codes(codes), fold_case=fold_case)
-    got = chunks.select("row_id", *(udf(c).alias(n) for n, c in fields.items()))
+    Up to ``max_codes`` codes go to every task, without a shuffle. A longer list is joined: each row's words meet the codes by
+    equality, and a row comes back with the codes it may hold, so nothing that grows with the list is shipped; codes of other
+    than letters, digits and up to seven hyphens are not met that way and are an error there.
+    """
+    named = codes.where(F.col("code").isNotNull()).select("code")
+    first = named.limit(max_codes + 1).collect()
+    if len(first) <= max_codes:
+        udf = consistent_form([r.code for r in first], fold_case=fold_case)
+        got = chunks.select("row_id", *(udf(c).alias(n) for n, c in fields.items()))
+    else:
+        udf = consistent_form(None, fold_case=fold_case)
+        words, upper = pandas_udf(code_words, "array<string>"), F.upper("code")
+        checked = F.when(F.regexp_like(upper, F.lit(r"(?U)^[^\W_]+(-[^\W_]+){0,7}$")), upper).otherwise(F.raise_error(F.lit("a code of other characters")))
+        known = named.select(checked.alias("w")).distinct()
+        rows = chunks.select("row_id", *(c.alias(n) for n, c in fields.items())).withColumn("place", F.xxhash64("row_id", *fields))
+        held = rows.select("place", F.explode(F.array_distinct(F.flatten(F.array(*(F.coalesce(words(F.col(n)), F.array().cast("array<string>")) for n in fields))))).alias("w")).distinct()
+        own = held.join(known, "w").groupBy("place").agg(F.collect_list("w").alias("own"))
+        got = rows.join(own, "place", "left").select("row_id", *(udf(F.col(n), F.col("own")).alias(n) for n in fields))
     return got.select("row_id", *(x for n in fields for x in (F.col(f"{n}.form").alias(f"{n}_form"), F.col(f"{n}.changed").alias(f"{n}_changed"))))
