@@ -232,13 +232,50 @@ def test_streaming_bpe():
         t = "".join(rnd.choice("абв abc 12\n\t'sé🙂—") for _ in range(rnd.randint(1, 3000)))
         assert own.encode(t) == plain.encode_ordinary(t)
         size = rnd.randint(1, 50)
-        assert list(own.runs(t[i : i + size] for i in range(0, len(t), size))) == own.split.findall(t)
+        assert [r for found in own.runs(t[i : i + size] for i in range(0, len(t), size)) for r in found] == own.split.findall(t)
     for run in ("а" * 3000, "ab" * 2000, "".join(rnd.choice("абвгд") for _ in range(4000)), "=" * 700):
         data = run.encode()
         assert list(own.stream(data[i : i + 61] for i in range(0, len(data), 61))) == plain.encode_ordinary(run)
     assert own.encode(None) == [] and own.encode("<|endoftext|>") == plain.encode_ordinary("<|endoftext|>")
 
 
+def test_transducer_is_the_merge_list():
+    """For any merge list: streamed tokens are those of merging the lowest rank first, whatever the blocks."""
+    rnd = random.Random(8)
+    for _ in range(60):
+        ranks = {bytes([c]): c for c in range(256)}
+        for _ in range(rnd.randint(1, 25)):
+            a, b = rnd.choice(list(ranks)[-12:] + [b"a", b"b", b"c"]), rnd.choice(list(ranks)[-12:] + [b"a", b"b", b"c"])
+            if set(a + b) <= set(b"abc"):
+                ranks.setdefault(a + b, len(ranks))
+        own = tokens.Transducer(ranks)
+        ranks = {t: r for t, r in ranks.items() if own._merged([t[i : i + 1] for i in range(len(t))]) == [t]}  # tokens that merging can make
+        own = tokens.Transducer(ranks)
+        for _ in range(20):
+            data = bytes(rnd.choice(b"abc") for _ in range(rnd.randint(1, 60)))
+            size = rnd.randint(1, 9)
+            assert list(own.stream(data[i : i + size] for i in range(0, len(data), size))) == [ranks[t] for t in own._merged([data[i : i + 1] for i in range(len(data))])]
+
+
+def test_transducer_memory_is_constant():
+    """A run of a megabyte leaves no more undecided prefixes than the lookahead allows, and tokens come before the run ends."""
+    own = tokens.transducer(tokens.VOCABULARY)
+    rnd = random.Random(6)
+    data = "".join(rnd.choice("абвгдежзиклмн") for _ in range(1 << 19)).encode()
+    seen = []
+
+    def blocks():
+        for i in range(0, len(data), 1 << 14):
+            seen.append(i)
+            yield data[i : i + (1 << 14)]
+
+    own.peak, out = 0, bytearray()
+    for i in own.stream(blocks()):
+        assert len(seen) * (1 << 14) - len(out) <= (1 << 14) + 2 * own.lookahead
+        out += own.tokens[i]
+    assert out == data and own.peak <= own.lookahead
+
+
 LABELLED = [("Ты идиот и дурак, вон отсюда.", "abusive"), ("Какой кретин это писал, пошёл вон.", "abusive"), ("You are an idiot, get lost.", "abusive"), ("Все приезжие хуже крыс, гнать их надо из страны.", "hateful"),
             ("I hate foreigners, they are vermin.", "hateful"), ("Секс онлайн, пиши в личку, взрослые пары.", "sexual"), ("Watch porn now, horny adults strip.", "sexual"), ("Щиты должны проверяться.", "none"),
             ("Паразитные токи в экране убивают датчик.", "none"), ("Голые провода закрывают до подачи напряжения.", "none")]
