@@ -141,6 +141,33 @@ def test_partenum_loses_no_pair(spark, frequent, shingle, threshold):
     assert set(map(tuple, got.collect())) == want
 
 
+def test_signatures_do_not_grow_with_the_corpus():
+    """The same sets in a corpus of up to 2,000 times as many occurrences: signatures a set stay bounded, as does a single one's share."""
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    n, m = 75, 400
+    pool = (rnd.zipf(1.3, 4_000_000) % 3_000_000).astype(np.uint64)
+    sets_ = [np.unique(partenum._mix(rnd.choice(pool, n)) >> np.uint64(24)) for _ in range(m)]
+    size = np.array([len(x) for x in sets_])
+    d, h = np.repeat(np.arange(m), size), np.concatenate(sets_)
+    bits = 18
+    counts = np.bincount((partenum._mix(pool) >> np.uint64(24) >> np.uint64(40 - bits)).astype(np.int64), minlength=1 << bits)
+    made = []
+    for scale in (1, 10, 100, 2000):
+        rare = int(partenum.level(partenum.FREQUENT + 2 * scale * counts.sum() / (1 << bits)))
+        sig, of, _ = partenum.enumerate_signatures(size, d, h, partenum.level(scale * counts), rare, threshold=0.6, bits=bits, gap=partenum.GAP)
+        made.append(len(sig) / m)
+    assert max(made) <= 2 * size.mean() and max(made) <= 2.5 * min(made), made
+
+
+def test_part_levels():
+    import numpy as np
+
+    level = partenum.level(np.arange(100_000))
+    assert (np.diff(level.astype(int)) >= 0).all() and len(set(level[:6])) == 6 and partenum.level(1e7) < 255
+
+
 def test_groups_follow_chains(spark):
     w = PROSE.split()
     a, b, c = w, [*w[2:], "один", "два"], [*w[4:], "один", "два", "три", "четыре"]

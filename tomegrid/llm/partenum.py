@@ -1,17 +1,23 @@
-"""Near-duplicate records by prefix filtering over frequency-ordered word shingles (in place of PartEnum, see README note 2).
+"""Near-duplicate records by signatures of rare-first ordered word shingles (in place of PartEnum, see README note 2).
 
-The feature domain (hashes of ``shingle`` consecutive words) is partitioned into 2**``domain_bits`` parts, and the parts
-are ordered by how often they occur in the whole corpus, rarest first. Two sets whose Jaccard similarity is at least
-``threshold`` share at least L features among the ``n - ceil(threshold * n) + L`` rarest-ordered ones of each (pigeonhole;
-L is ``shared_parts``). Signatures are made of those features: every single one whose part is rare, and every pair of
-ones whose parts are frequent; the parts only tell how frequent a feature is. Similar sets share at least L - 1 signatures, whatever ``frequent`` is, so
-pairs that share fewer are dropped, as are sizes outside each other's band and pairs whose odd sketches (128 bits: a
-lower bound of the symmetric difference) rule the threshold out: no pair is lost. What is left is verified exactly.
+The features of a set (hashes of ``shingle`` consecutive words) are ordered by how often they occur in the whole corpus,
+rarest first; how often is told by counts of hashed parts of the feature domain. Two kinds of signatures are made:
+
+- a single feature, if its part is rare (at most ``frequent`` occurrences besides the mean) and it stands in the set's prefix, the
+  ``n - ceil(threshold * n) + L`` first ones: similar sets share L features there (pigeonhole);
+- a pair of frequent features that follow each other with at most ``gap`` frequent ones between, within the prefix of the frequent ones. If
+  similar sets share fewer than L rare features, what they share is frequent; all but (differences) / (gap + 1) of the
+  shared features then follow each other that closely in both sets, and L of these pairs lie in the prefix. Rare features
+  that are not shared count as differences, so a set rich in rare features needs few pairs or none.
+
+So a set has at most (gap + 1) signatures a feature at any size of the corpus, and a single one meets few sets by its choice. Pairs
+of sets that share fewer than L signatures are dropped, as are sizes outside each other's band and pairs whose odd sketches (128
+bits: a lower bound of the symmetric difference) rule the threshold out: no pair is lost. What is left is verified exactly.
 
 Texts with equal words form one class before signatures are made: the class id is a hash of the words, equal signatures of
 a class are merged within the task, and so a text that a third of all rows share costs one signature set per batch.
-What goes to the driver and is broadcast is the table of part counts (4 bytes for each of 2**domain_bits parts) and a
-bitmap of 2**``bitmap_bits`` bits; neither grows with the data.
+What goes to the driver and is broadcast is the table of part counts, one byte (a logarithm) for each part, and a bitmap of
+2**``bitmap_bits`` bits. There is a part for every PART_LOAD features, but never more than 2**MAX_DOMAIN_BITS (64 MB).
 
 Defined results: rows without an id or content and bodies with fewer than ``min_words`` different words or no shingle are in no pair; in
 the groups every row is there once, such a row as its own group (a row without an id groups by its text, if that takes part); repeated rows
@@ -34,7 +40,12 @@ from pyspark.sql.functions import pandas_udf
 from tomegrid.session import cut
 
 SHINGLE, THRESHOLD, MIN_WORDS = 5, 0.8, 20
-DOMAIN_BITS, FREQUENT, BITMAP_BITS = 21, 1000, 24
+#: A part of the domain for so many features, within these bounds (powers of two).
+PART_LOAD, MIN_DOMAIN_BITS, MAX_DOMAIN_BITS = 8, 14, 26
+#: Occurrences above the mean up to which a part is rare, frequent features between the two of a pair at most, and the size of the class bitmap.
+FREQUENT, GAP, BITMAP_BITS = 100, 1, 24
+#: Counts are kept as logarithms in so many steps an octave.
+STEPS = 10
 _BLOCK = 1 << 14
 #: Bytes kept of a feature's hash.
 FEATURE_BYTES = 5
@@ -154,93 +165,117 @@ def _sets(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return b.column(0).to_numpy(zero_copy_only=False), size, np.repeat(np.arange(len(size)), size), unpack(b"".join(packed))
 
 
-def part_counts(sets: DataFrame, *, bits: int) -> np.ndarray:
-    """Occurrences of each part of the domain (saturating per task), summed over the corpus. Fixed size."""
+def bits_for(sets: DataFrame) -> int:
+    """Parts of the domain, as a power of two, from the number of features."""
+    total = sets.agg(F.sum(F.octet_length("features"))).first()[0] or 0
+    return int(np.clip(np.ceil(np.log2(max(1, total / FEATURE_BYTES / PART_LOAD))), MIN_DOMAIN_BITS, MAX_DOMAIN_BITS))
+
+
+def level(count: np.ndarray | float) -> np.ndarray:
+    """A count as a logarithm in one byte: 0, 1, 2 and 3 are themselves apart, then STEPS an octave, rounded up."""
+    return np.ceil(STEPS * np.log2(1 + np.asarray(count, dtype=np.float64)) - 1e-9).clip(0, 255).astype(np.uint8)
+
+
+def part_counts(sets: DataFrame, *, bits: int) -> tuple[np.ndarray, int]:
+    """(level of the occurrences of each part of the domain over the whole corpus, number of features).
+
+    The tables are summed in as many tasks as the cluster has cores, so what is shuffled is a table a core, not one an input split.
+    """
     shift = np.uint64(8 * FEATURE_BYTES - bits)
+    cores = sets.sparkSession.sparkContext.defaultParallelism
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, dtype=np.uint32)
         for b in batches:
-            h = _sets(b)[3]
-            if len(h):
-                total += np.bincount((h >> shift).astype(np.int64), minlength=1 << bits).astype(np.uint32)
-        dense = np.minimum(total, 255).astype(np.uint8)
-        blocks = [k for k in range(0, 1 << bits, _BLOCK) if dense[k : k + _BLOCK].any()]
-        if blocks:
-            yield pa.RecordBatch.from_pydict({"block": pa.array([k // _BLOCK for k in blocks], pa.int32()), "counts": pa.array([dense[k : k + _BLOCK].tobytes() for k in blocks], pa.binary())})
+            np.add.at(total, (_sets(b)[3] >> shift).astype(np.int64), np.uint32(1))
+        for k in range(0, 1 << bits, _BLOCK):
+            own = total[k : k + _BLOCK]
+            if own.any():
+                small = own.astype(np.uint8 if own.max() < 256 else np.uint16 if own.max() < 65536 else np.uint32)
+                yield pa.RecordBatch.from_pydict({"block": pa.array([k // _BLOCK], pa.int32()), "width": pa.array([small.itemsize], pa.int32()), "counts": pa.array([small.tobytes()], pa.binary())})
 
     def add(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(_BLOCK, dtype=np.int32)
+        total = np.zeros(_BLOCK, dtype=np.int64)
         for b in batches:
-            for x in b["counts"]:
-                total += np.frombuffer(x, dtype=np.uint8)
-        yield pd.DataFrame({"block": [key[0]], "counts": [total.tobytes()]})
-
-    blocks = sets.mapInArrow(count, "block INT, counts BINARY").groupBy("block").applyInPandas(add, "block INT, counts BINARY").collect()
-    out = np.zeros(1 << bits, dtype=np.int32)
-    for r in blocks:
-        out[r.block * _BLOCK : (r.block + 1) * _BLOCK] = np.frombuffer(r.counts, dtype=np.int32)
-    return out
-
-
-def shared_parts(size, threshold: float):
-    """How many parts two similar sets share within their prefixes, at least, by the smaller size; works on arrays."""
-    return np.minimum(2 + size // 16, np.ceil(threshold * size - 1e-9).astype(np.int64))
-
-
-def signatures(sets: DataFrame, counts: np.ndarray, *, threshold: float, bits: int, frequent: int) -> DataFrame:
-    """(sig, class, n, s1, s2): the enumerated signatures of every class, with its size and odd sketch."""
-    shared = sets.sparkSession.sparkContext.broadcast(counts)
-    shift = np.uint64(8 * FEATURE_BYTES - bits)
+            for width, x in zip(b["width"], b["counts"]):
+                own = np.frombuffer(x, dtype=f"u{width}")
+                total[: len(own)] += own
+        yield pd.DataFrame({"block": [key[0]], "levels": [level(total).tobytes()], "features": [int(total.sum())]})
+
+    summed = sets.coalesce(cores).mapInArrow(count, "block INT, width INT, counts BINARY").groupBy("block").applyInPandas(add, "block INT, levels BINARY, features BIGINT")
+    out, features = np.zeros(1 << bits, dtype=np.uint8), 0
+    for r in summed.collect():  # at most 2**MAX_DOMAIN_BITS bytes in all
+        own = np.frombuffer(r.levels, dtype=np.uint8)[: len(out) - r.block * _BLOCK]
+        out[r.block * _BLOCK : r.block * _BLOCK + len(own)] = own
+        features += r.features
+    return out, features
+
+
+def asked_of(size, threshold: float):
+    """How many signatures two similar sets share at least, by the smaller size; works on arrays."""
+    return np.minimum(1 + size // 16, np.ceil(threshold * size - 1e-9).astype(np.int64))
+
+
+def prefixes(size: np.ndarray, rare: np.ndarray, *, threshold: float, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sets of so many features, so many of them rare: (prefix of all features for single ones, prefix of the frequent features
+    for pairs, whether the set is so small that its frequent features go single too)."""
+    r, ask = (1 - threshold) / threshold, asked_of(size, threshold)
+    single = np.minimum(size, size - np.ceil(threshold * size - 1e-9).astype(np.int64) + ask)
+    # fewer than ``ask`` shared features are rare: at most this many frequent ones of the set are not shared
+    often = size - rare
+    apart = (r * (often + ask - 1) - rare + ask - 1) / (1 + r)
+    pairs = np.where(apart < 0, 0, np.minimum(often, np.floor(np.maximum(apart, 0) * (gap + 2) / (gap + 1) + 1e-9).astype(np.int64) + 1 + ask))
+    # the argument asks for threshold * size * (1 - r / (gap + 1)) >= 2 * ask + 2 shared features; smaller sets meet partners of their band only
+    n = np.arange(1, 4096)
+    short = threshold * n * (1 - r / (gap + 1)) < 2 * asked_of(n, threshold) + 2
+    bound = (n[short].max() if short.any() else 0) / threshold + 1
+    return single, pairs, size <= bound if not short.all() else np.ones(len(size), dtype=bool)
+
+
+def signatures(sets: DataFrame, levels: np.ndarray, features: int, *, threshold: float, bits: int, frequent: int, gap: int = GAP) -> DataFrame:
+    """(sig, class, n, s1, s2): the signatures of every class, with its size and odd sketch."""
+    shared = sets.sparkSession.sparkContext.broadcast(levels)
+    rare_up_to = int(level(frequent + 2 * features / (1 << bits)))
 
     def enumerate_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = shared.value
         for batch in batches:
             owner, size, d, h = _sets(batch)
-            if not len(h):
-                continue
-            start = np.concatenate([[0], np.cumsum(size)[:-1]])
-            mixed = _mix(h)
-            word, one = mixed % np.uint64(SKETCH_BITS // 64), np.uint64(1) << ((mixed >> np.uint64(32)) & np.uint64(63))
-            sketch = [np.bitwise_xor.reduceat(np.where(word == i, one, np.uint64(0)), start) for i in range(SKETCH_BITS // 64)]
-            w = weight[(h >> shift).astype(np.int64)]
-            order = np.lexsort((h, w, d))
-            h, w = h[order], w[order]
-            need = np.ceil(threshold * size - 1e-9).astype(np.int64)
-            prefix = np.minimum(size, size - need + shared_parts(size, threshold))
-            rank = np.arange(len(h)) - start[d]
-            inside = rank < prefix[d]
-            tiny = size <= 1 / threshold**2 + 1  # their partners may share one part only
-            single = inside & ((w <= frequent) | tiny[d]) & (w != 1)  # a part met once has no partner
-            sig, of = [h[single]], [d[single]]
-            many = np.flatnonzero(inside & (w > frequent))
-            for doc, at in _groups(d[many]):
-                x = h[many[at]]
-                if len(x) >= 2:
-                    i, j = np.triu_indices(len(x), 1)
-                    a, b = np.minimum(x[i], x[j]), np.maximum(x[i], x[j])
-                    sig.append(_mix(a * np.uint64(3) + _mix(b)))
-                    of.append(np.full(len(i), doc))
-            s, o = np.concatenate(sig), np.concatenate(of)
-            yield pa.RecordBatch.from_pydict({"sig": s.view(np.int64), "class": owner[o], "n": size[o].astype(np.int32)} | {f"s{i}": x[o].view(np.int64) for i, x in enumerate(sketch, 1)})
+            if len(h):
+                s, o, sketch = enumerate_signatures(size, d, h, shared.value, rare_up_to, threshold=threshold, bits=bits, gap=gap)
+                yield pa.RecordBatch.from_pydict({"sig": s.view(np.int64), "class": owner[o], "n": size[o].astype(np.int32)} | {f"s{i}": x[o].view(np.int64) for i, x in enumerate(sketch, 1)})
 
     return sets.mapInArrow(enumerate_, "sig BIGINT, class BIGINT, n INT, s1 BIGINT, s2 BIGINT")
 
 
-def _groups(x: np.ndarray) -> Iterator[tuple[int, slice]]:
-    """(value, slice) of each run of a sorted array."""
-    if len(x):
-        edge = np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1, [len(x)]])
-        for a, b in zip(edge[:-1], edge[1:]):
-            yield int(x[a]), slice(a, b)
+def enumerate_signatures(
+    size: np.ndarray, d: np.ndarray, h: np.ndarray, levels: np.ndarray, rare_up_to: int, *, threshold: float, bits: int, gap: int
+) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(signature, its set, odd sketches of the sets) of sets given flat: set of each feature, feature."""
+    start = np.concatenate([[0], np.cumsum(size)[:-1]])
+    mixed = _mix(h)
+    word, one = mixed % np.uint64(SKETCH_BITS // 64), np.uint64(1) << ((mixed >> np.uint64(32)) & np.uint64(63))
+    sketch = [np.bitwise_xor.reduceat(np.where(word == i, one, np.uint64(0)), start) for i in range(SKETCH_BITS // 64)]
+    w = levels[(h >> np.uint64(8 * FEATURE_BYTES - bits)).astype(np.int64)]
+    order = np.lexsort((h, w, d))
+    h, w = h[order], w[order]
+    is_rare = w <= rare_up_to
+    rare = np.add.reduceat(is_rare.astype(np.int64), start)
+    single, pairs, small = prefixes(size, rare, threshold=threshold, gap=gap)
+    rank = np.arange(len(h)) - start[d]
+    # small sets have single signatures of all their prefix besides the pairs
+    alone = (rank < single[d]) & (is_rare | small[d]) & (w > level(1))  # a part met once has no partner
+    sig, of = [h[alone]], [d[alone]]
+    often = rank - rare[d]  # place among the frequent ones
+    for step in range(1, gap + 2):
+        i = np.flatnonzero((d[:-step] == d[step:]) & (often[:-step] >= 0) & (often[step:] < pairs[d[step:]])) if len(h) > step else np.zeros(0, dtype=np.int64)
+        a, b = np.minimum(h[i], h[i + step]), np.maximum(h[i], h[i + step])
+        sig.append(_mix(a * np.uint64(3) + _mix(b)))
+        of.append(d[i])
+    return np.concatenate(sig), np.concatenate(of), sketch
 
 
 def candidate_pairs(sigs: DataFrame, threshold: float) -> DataFrame:
-    """Class pairs that share as many signatures as similar sets must, and that size and sketch leave possible.
-
-    Of the parts shared at least, those that are frequent come in pairs: x of them give x(x - 1)/2 signatures, never
-    fewer than x - 1, so one less than ``shared_parts`` is asked.
-    """
+    """Class pairs that share as many signatures as similar sets must, and that size and sketch leave possible."""
     rows = sigs.repartition("sig").dropDuplicates(["sig", "class"])
     a, b = rows.alias("a"), rows.alias("b")
     least = sum((F.bit_count(F.col(f"a.s{i}").bitwiseXOR(F.col(f"b.s{i}"))) for i in range(2, SKETCH_BITS // 64 + 1)), F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))))
@@ -253,8 +288,8 @@ def candidate_pairs(sigs: DataFrame, threshold: float) -> DataFrame:
     )
     met = a.join(b.hint("merge"), (F.col("a.sig") == F.col("b.sig")) & possible).select(F.col("a.class").alias("class_a"), F.col("b.class").alias("class_b"), small.alias("n"))
     counted = met.groupBy("class_a", "class_b").agg(F.count(F.lit(1)).alias("met"), F.min("n").alias("n"))
-    asked = F.least(F.lit(2) + F.floor(F.col("n") / 16), F.ceil(F.col("n") * F.lit(threshold) - 1e-9))
-    return counted.where(F.col("met") >= asked - 1).select("class_a", "class_b")
+    asked = F.least(F.lit(1) + F.floor(F.col("n") / 16), F.ceil(F.col("n") * F.lit(threshold) - 1e-9))
+    return counted.where(F.col("met") >= asked).select("class_a", "class_b")
 
 
 def _bitmap(classes: DataFrame, bits: int) -> np.ndarray:
@@ -283,10 +318,12 @@ def _bitmap(classes: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def similar_classes(rows: DataFrame, *, threshold: float, domain_bits: int = DOMAIN_BITS, frequent: int = FREQUENT, bitmap_bits: int = BITMAP_BITS) -> DataFrame:
+def similar_classes(rows: DataFrame, *, threshold: float, domain_bits: int | None = None, frequent: int = FREQUENT, gap: int = GAP, bitmap_bits: int = BITMAP_BITS) -> DataFrame:
     """(class_a, class_b, shared, total) of ``records``: every pair of different texts at or above the threshold."""
     sets = rows.where(F.col("features").isNotNull()).select("class", "features")
-    sigs = signatures(sets, part_counts(sets, bits=domain_bits), threshold=threshold, bits=domain_bits, frequent=frequent)
+    bits = bits_for(sets) if domain_bits is None else domain_bits
+    levels, features = part_counts(sets, bits=bits)
+    sigs = signatures(sets, levels, features, threshold=threshold, bits=bits, frequent=frequent, gap=gap)
     pairs = cut(candidate_pairs(sigs, threshold), "candidates")
     ends = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class"))
     wanted = rows.sparkSession.sparkContext.broadcast(_bitmap(ends, bitmap_bits))
