@@ -43,13 +43,15 @@ SHINGLE, THRESHOLD, MIN_WORDS = 5, 0.8, 20
 #: A part of the domain for so many features, within these bounds (powers of two).
 PART_LOAD, MIN_DOMAIN_BITS, MAX_DOMAIN_BITS = 8, 14, 26
 #: Occurrences above the mean up to which a part is rare, frequent features between the two of a pair at most, and the size of the class bitmap.
-FREQUENT, GAP, BITMAP_BITS = 100, 1, 24
+FREQUENT, GAP, BITMAP_BITS = 250, 1, 24
 #: Counts are kept as logarithms in so many steps an octave.
 STEPS = 10
 _BLOCK = 1 << 14
 #: Bytes kept of a feature's hash.
 FEATURE_BYTES = 5
 SKETCH_BITS = 128
+#: Bytes of a pair's signature; two pairs that share one only make a candidate more.
+PAIR_BYTES = 6
 _WORD = re.compile(r"[^\W_]+")
 _FIELD = re.compile(r"\.(?:\s+|$)")
 
@@ -213,7 +215,7 @@ def part_counts(sets: DataFrame, *, bits: int) -> tuple[np.ndarray, int]:
 
 def asked_of(size, threshold: float):
     """How many signatures two similar sets share at least, by the smaller size; works on arrays."""
-    return np.minimum(1 + size // 16, np.ceil(threshold * size - 1e-9).astype(np.int64))
+    return np.minimum(1 + size // 32, np.ceil(threshold * size - 1e-9).astype(np.int64))
 
 
 def prefixes(size: np.ndarray, rare: np.ndarray, *, threshold: float, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -269,7 +271,7 @@ def enumerate_signatures(
     for step in range(1, gap + 2):
         i = np.flatnonzero((d[:-step] == d[step:]) & (often[:-step] >= 0) & (often[step:] < pairs[d[step:]])) if len(h) > step else np.zeros(0, dtype=np.int64)
         a, b = np.minimum(h[i], h[i + step]), np.maximum(h[i], h[i + step])
-        sig.append(_mix(a * np.uint64(3) + _mix(b)))
+        sig.append(_mix(a * np.uint64(3) + _mix(b)) >> np.uint64(64 - 8 * PAIR_BYTES))
         of.append(d[i])
     return np.concatenate(sig), np.concatenate(of), sketch
 
@@ -288,7 +290,7 @@ def candidate_pairs(sigs: DataFrame, threshold: float) -> DataFrame:
     )
     met = a.join(b.hint("merge"), (F.col("a.sig") == F.col("b.sig")) & possible).select(F.col("a.class").alias("class_a"), F.col("b.class").alias("class_b"), small.alias("n"))
     counted = met.groupBy("class_a", "class_b").agg(F.count(F.lit(1)).alias("met"), F.min("n").alias("n"))
-    asked = F.least(F.lit(1) + F.floor(F.col("n") / 16), F.ceil(F.col("n") * F.lit(threshold) - 1e-9))
+    asked = F.least(F.lit(1) + F.floor(F.col("n") / 32), F.ceil(F.col("n") * F.lit(threshold) - 1e-9))
     return counted.where(F.col("met") >= asked).select("class_a", "class_b")
 
 
