@@ -57,8 +57,8 @@ def test_config(tmp_path):
 
 def test_files_out(spark, tmp_path):
     docs = spark.createDataFrame([("sub/a.md", "раз\nдва")], "file_name STRING, text STRING")
-    files.write_markdown(docs, str(tmp_path / "md"))
-    assert [p.read_text() for p in (tmp_path / "md").rglob("*.txt")] == ["раз\nдва\n"]
+    assert files.write_markdown(docs, str(tmp_path / "md")) == 1
+    assert (tmp_path / "md" / "sub" / "a.md").read_text() == "раз\nдва\n"
     (tmp_path / "in" / "image_1").mkdir(parents=True)
     (tmp_path / "in" / "image_1" / "a.png").write_bytes(b"xyz")
     plan = spark.createDataFrame([("d", "image_1/a.png", True), ("d", "image_1/b.png", True), ("d", "c", False)], "doc STRING, ref STRING, exists BOOLEAN")

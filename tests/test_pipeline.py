@@ -228,3 +228,35 @@ def test_stored_text_limit(spark):
     c = spark.createDataFrame([("c", "я" * 40_000, [], "f", "1", 1)], "chunk_id STRING, text STRING, image_paths ARRAY<STRING>, source_file STRING, chapter STRING, ordinal BIGINT")
     with pytest.raises(Exception, match="stored limit"):
         loading.collection_rows(c, F.array(F.lit(0.0)), F.array(F.lit(0.0))).collect()
+
+
+def test_recursive_names_stay_apart(spark, tmp_path):
+    """Equal base names in several folders, with blanks and signs, are documents of their own under decoded relative names."""
+    for below in ("a", "b +c%20"):
+        (tmp_path / "in" / below).mkdir(parents=True)
+        (tmp_path / "in" / below / "x y.md").write_text(f"# П {below}\n(1.1.1) Щит {below}.\n")
+    got = files.read_markdown(spark, f"file://{tmp_path}/in", recursive=True)
+    assert {r.file_name for r in got.collect()} == {"a/x y.md", "b +c%20/x y.md"}
+    cut = chunking.chunk_documents_strict(got)
+    assert cut.count() == 2
+    assert files.write_chunks(chunking.chunk_objects(cut), str(tmp_path / "out")) == 2
+    assert sorted(str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*") if p.is_file()) == ["a/x y.chunked.jsonl", "b +c%20/x y.chunked.jsonl"]
+    assert {r.file_name for r in files.read_chunks(spark, str(tmp_path / "out")).collect()} == {"a/x y.chunked.jsonl", "b +c%20/x y.chunked.jsonl"}
+
+
+def test_long_chunk_files_go_on_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "ROWS_PER_FILE", 4)
+    c = spark.range(10).select(F.col("id").cast("string").alias("id"), F.struct(*(F.lit(None).cast("string").alias(n) for n in ("Document", "Section", "Chapter", "Paragraph", "Clause")), F.lit(True).alias("contains_tables"), F.lit(False).alias("contains_images"), F.lit("s/a.md").alias("source_file")).alias("metadata"), F.lit("т").alias("content"), F.lit(None).cast("string").alias("created_at"), F.col("id").alias("n"))
+    assert files.write_chunks(c, str(tmp_path / "x"), ordinal=F.col("n")) == 3
+    assert [len((tmp_path / "x" / "s" / f).read_text().splitlines()) for f in ("a.chunked.jsonl", "a.part1.chunked.jsonl", "a.part2.chunked.jsonl")] == [4, 4, 2]
+    assert '"id":"0"' in (tmp_path / "x" / "s" / "a.chunked.jsonl").read_text().splitlines()[0]
+    assert {(r.file_name, r.id) for r in files.read_chunks(spark, str(tmp_path / "x")).collect()} == {("s/a.chunked.jsonl", str(i)) for i in range(10)}
+    with pytest.raises(FileNotFoundError):
+        (tmp_path / "none").mkdir()
+        files.read_chunks(spark, str(tmp_path / "none"))
+
+
+def test_image_names_are_given_once(spark):
+    rels = [("d", f"rId{i}", t, "m") for i, t in enumerate(("a.png", "x/a.png", "a_1.png", "a", "b", "image005.png", "a.png"), 1)] + [("e", "rId1", "a.png", "m")]
+    got = images.image_names(spark.createDataFrame(rels, "doc STRING, r_id STRING, target STRING, member STRING")).collect()
+    assert sorted((r.doc, r.r_id, r.img_name) for r in got) == [("d", "rId1", "a.png"), ("d", "rId2", "a_1.png"), ("d", "rId3", "a_1_1.png"), ("d", "rId4", "image004.png"), ("d", "rId5", "image005.png"), ("d", "rId6", "image005_1.png"), ("d", "rId7", "a_2.png"), ("e", "rId1", "a.png")]

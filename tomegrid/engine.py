@@ -12,7 +12,7 @@ from tomegrid.functions.embedding import HashingEmbedder, TextEmbedder, embed_te
 from tomegrid.model import IMAGE_DIM
 from tomegrid.operators import chunking, images, loading, search
 from tomegrid.operators.catalog import Collection
-from tomegrid.session import ship_package
+from tomegrid.session import cut, ship_package
 from tomegrid.sources import files
 
 
@@ -28,8 +28,9 @@ class Engine:
 
     def chunk_folder(self, folder: str, target: str, *, recursive: bool = False, strict: bool = True) -> None:
         """Markdown files to JSON Lines chunks."""
-        cut = chunking.chunk_documents_strict if strict else chunking.chunk_documents
-        files.write_chunks(chunking.chunk_objects(cut(files.read_markdown(self.spark, folder, recursive=recursive))), target)
+        chunked = chunking.chunk_documents_strict if strict else chunking.chunk_documents
+        done = chunked(files.read_markdown(self.spark, folder, recursive=recursive))
+        files.write_chunks(chunking.chunk_objects(done, carry=("ordinal",)), target, ordinal=F.col("ordinal"))
 
     def load_folder(self, folder: str, *, catalog: DataFrame | None = None, image_vectors: DataFrame | None = None, skip_existing: bool = False) -> DataFrame:
         """JSON Lines chunks into the collection; returns the summary per file.
@@ -42,7 +43,8 @@ class Engine:
         text = loading.pick_text(F.col("text"), F.col("content"))
         refs = loading.merge_image_paths(images.extract_refs(text), F.coalesce("metadata.image_paths", "image_paths"))
         rows = got.select(file.alias("source_file"), "chunk_id", "id", text.alias("text"), refs.alias("refs")).withColumn("chapter", loading.chapter_from_file(F.col("source_file")))
-        rows = rows.withColumn("ordinal", F.xxhash64("source_file", "chunk_id", "id", "text"))
+        # numbered once and written, so a row has one number whatever is joined to it; ids go on from those stored
+        rows = cut(rows.withColumn("ordinal", F.monotonically_increasing_id()), "load")
         if catalog is not None:
             resolved = images.resolve(rows.select("ordinal", "chapter", F.explode("refs").alias("ref")).distinct(), catalog, keys=["ordinal"])
             rows = rows.join(resolved, "ordinal", "left")
@@ -53,12 +55,14 @@ class Engine:
         zero = F.array_repeat(F.lit(0.0), IMAGE_DIM)
         if image_vectors is not None:
             parts = rows.select("ordinal", F.explode("image_paths").alias("path")).distinct().join(image_vectors, "path").select("ordinal", "image_vector")
-            mean = loading.vector_mean(parts, key="ordinal", vector="image_vector").groupBy("ordinal")
-            vectors = mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x.value).alias("image_vector"))
+            vectors = loading.vector_means(parts, key="ordinal", vector="image_vector").withColumnRenamed("mean", "image_vector")
             rows = rows.join(vectors, "ordinal", "left").withColumn("image_vector", F.coalesce("image_vector", zero))
         else:
             rows = rows.withColumn("image_vector", zero)
-        self.collection.append(loading.collection_rows(rows, embed_text(F.col("text"), self.make), F.col("image_vector")), skip_existing=skip_existing)
+        if skip_existing:
+            rows = loading.skip_existing(rows, self.collection.rows())
+        first = self.collection.rows().agg(F.coalesce(F.max("id") + 1, F.lit(0))).first()[0]
+        self.collection.append(loading.collection_rows(rows, embed_text(F.col("text"), self.make), F.col("image_vector"), id_=F.col("ordinal") + F.lit(first)))
         return loading.load_summary(rows)
 
     def _vector(self, query: str) -> list[float]:
@@ -75,10 +79,7 @@ class Engine:
         """Fused search; without an image it is the text search."""
         if vector is None:
             return self.search_text(query, limit)
-        t, i = self.search_text(query, 2 * limit), self.search_image(vector, 2 * limit)
-        best = search.hybrid(t, i, limit, text_weight=text_weight, image_weight=image_weight).drop("score", "search_type")
-        both = t.unionByName(i).groupBy("id").agg(F.max_by(F.struct(*[c for c in t.columns if c != "id"]), F.col("search_type") == "text").alias("hit"))
-        return best.join(both, "id").select("id", "hit.*", "fused_score").orderBy(F.desc("fused_score"), F.asc("id"))
+        return search.hybrid_hits(self.search_text(query, 2 * limit), self.search_image(vector, 2 * limit), limit, text_weight=text_weight, image_weight=image_weight)
 
     @staticmethod
     def _hits(rows: DataFrame, search_type: str) -> DataFrame:

@@ -212,11 +212,11 @@ def chunk_id(source: Column, ordinal: Column, text: Column, clause: Column, para
     )
 
 
-def chunk_objects(chunks: DataFrame, *, created: Column | None = None) -> DataFrame:
-    """Chunks in their file form: id, metadata, content, created_at."""
+def chunk_objects(chunks: DataFrame, *, created: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Chunks in their file form: id, metadata, content, created_at, and the carried columns."""
     levels = [F.col(c) for c in LEVELS]
     head = context_header(*levels)
     content = F.when(head != "", F.concat(head, F.lit("\n\n"), F.col("text"))).otherwise(F.col("text"))
     meta = F.struct(*levels, "contains_tables", "contains_images", F.col("doc").alias("source_file"))
     stamp = created if created is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    return with_flags(chunks).select(chunk_id(F.col("doc"), F.col("ordinal"), F.col("text"), F.col("Clause"), F.col("Paragraph")).alias("id"), meta.alias("metadata"), content.alias("content"), stamp.alias("created_at"))
+    return with_flags(chunks).select(chunk_id(F.col("doc"), F.col("ordinal"), F.col("text"), F.col("Clause"), F.col("Paragraph")).alias("id"), meta.alias("metadata"), content.alias("content"), stamp.alias("created_at"), *carry)

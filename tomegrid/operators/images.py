@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomegrid.functions.strings import base_name, strip
@@ -102,15 +102,22 @@ def resolve_members(rels: DataFrame) -> DataFrame:
 
 
 def image_names(resolved: DataFrame) -> DataFrame:
-    """(doc, r_id, target, img_name): file names for extraction; no suffix gives imageNNN.png, repeats get _1, _2, ...
+    """(doc, r_id, target, img_name): file names for extraction, none given twice in a document.
 
-    Order within a document is that of the relationship's number.
+    No suffix gives imageNNN.png by the place in the document; a name that is taken gets the first of _1, _2, ... that is free. Order
+    within a document is that of the relationship's number. One document's relationships are folded in one pass.
     """
     number = F.regexp_extract("r_id", r"(\d+)", 1).cast("int")
-    by_doc = Window.partitionBy("doc").orderBy(number, "r_id", "target")
-    name = base_name(F.col("target"))
-    plain = F.when(F.contains(name, F.lit(".")), name).otherwise(F.format_string("image%03d.png", F.row_number().over(by_doc)))
-    named = resolved.select("doc", "r_id", "target", plain.alias("name"), number.alias("n"))
-    again = F.row_number().over(Window.partitionBy("doc", "name").orderBy("n", "r_id", "target")) - 1
-    stem, suffix = F.regexp_extract("name", r"^(.*)(\.[^.]*)$", 1), F.regexp_extract("name", r"^(.*)(\.[^.]*)$", 2)
-    return named.select("doc", "r_id", "target", F.when(again > 0, F.concat(stem, F.lit("_"), again.cast("string"), suffix)).otherwise(F.col("name")).alias("img_name"))
+    listed = resolved.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(number.alias("n"), "r_id", "target"))).alias("rels"))
+
+    def free(taken: Column, name: Column) -> Column:
+        split = lambda i: F.regexp_extract(name, r"(?s)^(.*?)(\.[^.]*)?$", i)
+        other = F.transform(F.sequence(F.lit(1), F.size(taken) + 1), lambda i: F.concat(split(1), F.lit("_"), i.cast("string"), split(2)))
+        return F.when(~F.array_contains(taken, name), name).otherwise(F.element_at(F.filter(other, lambda x: ~F.array_contains(taken, x)), 1))
+
+    def give(names: Column, rel: Column) -> Column:
+        base = base_name(rel.target)
+        return F.concat(names, F.array(free(names, F.when(F.contains(base, F.lit(".")), base).otherwise(F.format_string("image%03d.png", F.size(names) + 1)))))
+
+    named = listed.select("doc", "rels", F.aggregate("rels", F.array().cast("array<string>"), give).alias("names"))
+    return named.select("doc", F.explode(F.arrays_zip("rels", "names")).alias("x")).select("doc", "x.rels.r_id", "x.rels.target", F.col("x.names").alias("img_name"))

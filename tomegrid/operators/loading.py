@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import warnings
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,19 +58,19 @@ def merge_image_paths(found: Column, given: Column) -> Column:
     return F.array_sort(F.array_distinct(F.array_union(F.coalesce(found, F.array().cast("array<string>")), F.coalesce(given, F.array().cast("array<string>")))))
 
 
-def collection_rows(chunks: DataFrame, text_vector: Column, image_vector: Column) -> DataFrame:
-    """Rows of the stored collection from prepared chunks (chunk_id, text, image_paths, source_file, chapter, ordinal)."""
+def collection_rows(chunks: DataFrame, text_vector: Column, image_vector: Column, *, id_: Column | None = None) -> DataFrame:
+    """Rows of the stored collection from prepared chunks (chunk_id, text, image_paths, source_file, chapter, ordinal); ids by file and ordinal unless given."""
     over = F.octet_length("text") > TEXT_LIMIT_BYTES
     checked = F.when(over, F.raise_error(F.lit("text over the stored limit"))).otherwise(F.col("text"))
     return chunks.select(
-        F.xxhash64("source_file", "ordinal").alias("id"), "chunk_id", text_vector.cast("array<float>").alias("text_vector"), image_vector.cast("array<float>").alias("image_vector"),
+        (id_ if id_ is not None else F.xxhash64("source_file", "ordinal")).alias("id"), "chunk_id", text_vector.cast("array<float>").alias("text_vector"), image_vector.cast("array<float>").alias("image_vector"),
         checked.alias("text"), "image_paths", "source_file", "chapter", (F.size("image_paths") > 0).alias("has_image"),
     )
 
 
-def clustered(rows: DataFrame, *, by: str = "chapter", pieces: int = 4) -> DataFrame:
-    """Rows placed for a write partitioned by chapter: at most ``pieces`` files a chapter, so a large one is split and none is shredded."""
-    return rows.repartition(F.col(by), F.pmod(F.xxhash64("id"), F.lit(pieces)))
+def clustered(rows: DataFrame, *, by: str = "chapter", within: str = "id") -> DataFrame:
+    """Rows placed for a write partitioned by chapter: ranges of (chapter, id), so a chapter has as many tasks as its share of the rows and a small one a single file."""
+    return rows.repartitionByRange(by, within)
 
 
 def skip_existing(new: DataFrame, stored: DataFrame, *, key: str = "chunk_id") -> DataFrame:
@@ -83,9 +85,15 @@ def load_summary(chunks: DataFrame, *, batch: int = 32) -> DataFrame:
     )
 
 
+def vector_means(vectors: DataFrame, *, key: str, vector: str) -> DataFrame:
+    """(key, mean): mean vector of each group, not normalised again; partial sums of whole vectors, one row a group and task. Null vectors are left out."""
+    given = vectors.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
+    return given.groupBy(key).agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("mean"))
+
+
 def vector_mean(vectors: DataFrame, *, key: str, vector: str) -> DataFrame:
-    """(key, pos, value): mean vector of each group, not normalised again; one shuffle of partial sums."""
-    return vectors.select(key, F.posexplode(F.col(vector).cast("array<double>")).alias("pos", "value")).groupBy(key, "pos").agg(F.avg("value").alias("value"))
+    """(key, pos, value): the components of ``vector_means``."""
+    return vector_means(vectors, key=key, vector=vector).select(key, F.posexplode("mean").alias("pos", "value"))
 
 
 def stats(rows: DataFrame, name: str, indexed: list[str]) -> DataFrame:

@@ -74,7 +74,7 @@ def markdown_data_uris(text: Column, folder: Column) -> Column:
 def html_data_uris(pages: DataFrame, *, key: str, text: str) -> DataFrame:
     """Every base64 image of an HTML column: key, pos, img_name (collisions get _1, _2, ... per page), bytes (octets), md5."""
     found = pages.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(r'(?i)<img\b[^>]*?src="data:image/([^"]+)"'), F.lit(1))).alias("pos", "uri"))
-    data = F.unbase64(F.regexp_extract("uri", r"^[^,]*,(.*)$", 1))
+    data = F.unbase64(F.regexp_replace(F.regexp_extract("uri", r"(?s)^[^,]*,(.*)$", 1), r"\s+", ""))
     ext = F.lower(F.regexp_extract("uri", r"^([\w+.-]+)", 1))
     named = found.select(key, "pos", F.md5(data).alias("md5"), F.length(data).alias("bytes"), F.when(ext == "jpeg", "jpg").otherwise(ext).alias("ext"))
     stem = F.concat(F.lit("img_"), F.substring("md5", 1, 8))

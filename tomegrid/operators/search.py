@@ -107,6 +107,15 @@ def hybrid(text_hits: DataFrame, image_hits: DataFrame, k: int, *, text_weight:
     return both_.orderBy(F.desc("fused_score"), F.asc(id_col)).limit(k)
 
 
+def hybrid_hits(text_hits: DataFrame, image_hits: DataFrame, k: int, *, text_weight: float = 0.7, image_weight: float = 0.3, id_col: str = "id") -> DataFrame:
+    """Fusion as ``hybrid`` does it, of whole hit rows of equal columns: each list is read once, the text list's row is kept where both have one."""
+    marked = text_hits.withColumn("is_text", F.lit(True)).unionByName(image_hits.withColumn("is_text", F.lit(False)))
+    of = lambda text: F.coalesce(F.max(F.when(F.col("is_text") == text, F.col("score"))), F.lit(0.0))
+    kept = F.struct(*[c for c in text_hits.columns if c != id_col])
+    fused = marked.groupBy(id_col).agg(F.max_by(kept, F.col("is_text")).alias("hit"), F.round(of(True) * text_weight + of(False) * image_weight, 6).alias("fused_score"))
+    return fused.select(id_col, "hit.*", "fused_score").orderBy(F.desc("fused_score"), F.asc(id_col)).limit(k)
+
+
 def hit_format(hits: DataFrame, search_type: str) -> DataFrame:
     """Result rows: missing text as '', image paths decoded from their JSON text, the constant search type."""
     return hits.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("image_paths", F.from_json(F.coalesce("image_paths", F.lit("[]")), "array<string>")).withColumn("search_type", F.lit(search_type))

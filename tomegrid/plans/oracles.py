@@ -79,13 +79,20 @@ ORACLES |= {
     "jsonl_scan": "SELECT id, coalesce(content, '') AS text FROM chunked",
     "docx_rels": "SELECT DISTINCT doc, r_id, rel_type, target, member FROM docx_rels WHERE contains(lower(rel_type), 'image') AND r_id <> '' AND target <> ''",
     "table_rows_to_md": "SELECT chapter, '| N | Название |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || title_id || ' | ' || replace(title, chr(10), '<br>') || ' |', chr(10) ORDER BY title_id) AS md FROM toc GROUP BY chapter",
-    "chunk_sink_roundtrip": "SELECT coalesce(metadata.source_file, 'none') AS file, count(*) AS chunks, sum(length(coalesce(content, '')))::BIGINT AS chars FROM chunked GROUP BY 1",
+    "chunk_sink_roundtrip": r"SELECT regexp_replace(coalesce(metadata.source_file, 'none'), '\.md$', '') || '.chunked.jsonl' AS file_name, count(*) AS chunks, sum(length(coalesce(content, '')))::BIGINT AS chars FROM chunked GROUP BY 1",
+    "markdown_tree": r"SELECT b || file_name AS file_name, length(t) AS chars, md5(t) AS digest FROM (SELECT file_name, regexp_replace(text, '\r\n?', chr(10), 'g') || chr(10) AS t FROM md_files WHERE text <> ''), (VALUES ('a/'), ('b/c +d%/')) v(b)",
     "classify_lines": f"WITH {_CLASSIFIED} SELECT doc, pos, kind, coalesce(sd, '') AS set_document, coalesce(ss, '') AS set_section, coalesce(sc, '') AS set_chapter, coalesce(sp, '') AS set_paragraph, coalesce(sl, '') AS set_clause FROM c2",
     "carry_forward_metadata": f"WITH {_CARRIED} SELECT doc, pos, kind, document, section, chapter, paragraph, clause FROM c5",
     "chunk_documents": f"WITH {_CHUNKS}",
     "chunk_documents_strict": f"WITH {_CHUNKS}",
     "stream_ingest": f"WITH {_CHUNKS}",
 }
+ORACLES["chunk_objects"] = f"""WITH x AS (WITH {_CHUNKS}),
+h AS (SELECT *, concat_ws('. ', nullif(document, ''), nullif(section, ''), nullif(chapter, ''), nullif(paragraph, ''), CASE WHEN clause <> '' THEN 'Пункт ' || clause END) AS h,
+  left(md5(concat_ws(chr(1), doc, ordinal::VARCHAR, text)), 8) AS m FROM x)
+SELECT doc, ordinal, CASE WHEN clause <> '' THEN 'pue_' || clause || '_' || m WHEN paragraph <> '' THEN 'pue_para_' || paragraph || '_' || m ELSE 'pue_unknown_' || m END AS id,
+  CASE WHEN h = '' THEN text ELSE h || '.' || chr(10) || chr(10) || text END AS content, doc AS source_file,
+  contains(text, '# Таблица') OR contains(text, '|') AS contains_tables, contains(text, '![') AS contains_images, TRUE AS stamped FROM h"""
 _REFS = rf"""
 SELECT DISTINCT doc, ref FROM (
   SELECT file_name AS doc, {_strip("unnest(regexp_extract_all(text, '!\\[[^\\]]*\\]\\(([^)]+)\\)', 1))").replace(chr(92) * 2, chr(92))} AS ref FROM md_files)
@@ -119,7 +126,7 @@ a AS (SELECT *, row_number() OVER (PARTITION BY doc, name ORDER BY n, r_id, targ
 SELECT doc, r_id, target, CASE WHEN again > 0 THEN regexp_extract(name, '^(.*)(\.[^.]*)$', 1) || '_' || again || regexp_extract(name, '^(.*)(\.[^.]*)$', 2) ELSE name END AS img_name FROM a""",
     "img_tag_to_md": r"SELECT file_name, regexp_replace(text, '!\[\]\(((?:[^)\n]*/)?([^)/\n]+))\)', '![\2](\1)', 'g') AS md FROM md_files",
     "md_data_uri_extract": "SELECT title_id, 'x ![image](image_toc/img_' || left(md5(title), 8) || '.png) y' AS md FROM toc",
-    "data_uri_extract": """WITH r AS (SELECT chapter, title_id, row_number() OVER (PARTITION BY chapter ORDER BY title_id) - 1 AS pos, left(title, 1) AS b FROM toc),
+    "data_uri_extract": """WITH t AS (SELECT * FROM toc UNION ALL SELECT * FROM toc WHERE title_id % 3 = 0), r AS (SELECT chapter, title_id, row_number() OVER (PARTITION BY chapter ORDER BY title_id, title) - 1 AS pos, title AS b FROM t),
 n AS (SELECT *, row_number() OVER (PARTITION BY chapter, left(md5(b), 8) ORDER BY pos) - 1 AS n FROM r)
 SELECT chapter, pos, 'img_' || left(md5(b), 8) || CASE WHEN n > 0 THEN '_' || n ELSE '' END || '.png' AS img_name, strlen(b) AS bytes, md5(b) AS md5 FROM n""",
     "clean_hidden_tags_md": rf"SELECT file_name, regexp_replace(regexp_replace(regexp_replace(text, '\. ', '. #G0 12 ', 'g'), '{WS}*#[A-Za-z](?:[0-9]+(?:{WS}+[0-9]+)*)?{WS}*', '', 'g'), '{WS}{{3,}}', chr(10) || chr(10), 'g') AS md FROM md_files",
@@ -158,7 +165,12 @@ b AS (SELECT row_id, ref, arg_min(c.path, p) AS path FROM c JOIN (SELECT DISTINC
 SELECT row_id, string_agg(DISTINCT path, chr(10) ORDER BY path) AS image_paths FROM b GROUP BY row_id""",
     "load_chunks": rf"""WITH {_EXTRACTED},
 p AS (SELECT row_id, coalesce(metadata.source_file, '') AS s, regexp_replace(coalesce(metadata.source_file, ''), '(.)\.[^.]*$', '\1') AS chapter, coalesce(content, '') AS text, refs FROM z)
-SELECT coalesce(nullif(c.id, ''), p.chapter || '_' || p.row_id) AS chunk_id, p.text, array_to_string(p.refs, chr(10)) AS image_paths, p.s AS source_file, p.chapter, len(p.refs) > 0 AS has_image FROM p JOIN chunked c USING (row_id)""",
+SELECT coalesce(nullif(c.id, ''), p.chapter || '_' || p.row_id) AS chunk_id, p.text, array_to_string(p.refs, chr(10)) AS image_paths, p.s AS source_file, p.chapter, len(p.refs) > 0 AS has_image,
+  512 AS image_dim, coalesce(k.n, 0) AS components, {TEXT_DIM} AS text_dim
+FROM p JOIN chunked c USING (row_id) LEFT JOIN (
+  SELECT row_id, count(*)::INT AS n FROM (
+    SELECT row_id, ('0x' || left(md5(w), 7))::BIGINT % {TEXT_DIM} AS pos, sum(CASE WHEN ('0x' || substr(md5(w), 8, 1))::INT % 2 = 0 THEN 1 ELSE -1 END) AS v
+    FROM (SELECT row_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS w FROM p) GROUP BY ALL) WHERE v <> 0 GROUP BY row_id) k USING (row_id)""",
     "load_summary": f"WITH {_EXTRACTED} SELECT coalesce(metadata.source_file, '') AS source_file, count(*) AS chunks, sum(len(refs))::BIGINT AS images, CAST(ceil(count(*) / 32.0) AS BIGINT) AS batches FROM z GROUP BY 1",
     "skip_existing_anti": "SELECT row_id, id AS chunk_id FROM chunked c WHERE NOT EXISTS (SELECT 1 FROM chunked s WHERE s.row_id % 2 = 0 AND s.id = c.id)",
     "embed_hashing": rf"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS w FROM documents WHERE text IS NOT NULL),
@@ -167,7 +179,7 @@ b AS (SELECT doc_id, pos, sum(g)::DOUBLE AS v FROM s GROUP BY ALL), n AS (SELECT
 SELECT doc_id, CAST(pos AS INT) AS pos, round(v / n, 6) AS value FROM b JOIN n USING (doc_id) WHERE v <> 0""",
     "embed_image_bytes": "SELECT title_id, 512 AS dim, 1.0::DOUBLE AS norm FROM toc",
     "l2_normalize": """WITH e AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * 3 * (vec_id % 7)) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM e)
-SELECT vec_id, CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS norm, round(CASE WHEN n = 0 THEN 0 ELSE v[1] / n END, 6) AS first FROM n""",
+SELECT vec_id, CAST(unnest(range(len(v))) AS INT) AS pos, round(unnest(list_transform(v, lambda x: CASE WHEN n = 0 THEN 0 ELSE x / n END)), 6) AS value FROM n""",
     "vector_mean": "WITH u AS (SELECT label, unnest(range(len(embedding))) AS pos, unnest(embedding::DOUBLE[]) AS v FROM embeddings) SELECT label, CAST(pos AS INT) AS pos, round(avg(v), 6) AS value FROM u GROUP BY label, pos",
 }
 _COS = "CASE WHEN list_dot_product({a}, {a}) = 0 OR list_dot_product({b}, {b}) = 0 THEN 0 ELSE round(list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b}))), 6) END"

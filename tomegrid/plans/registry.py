@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tomegrid.functions import vectors
 from tomegrid.functions.embedding import HashingEmbedder, embed_image, embed_text
+from tomegrid.model import IMAGE_DIM
 from tomegrid.operators import chunking, images, loading, markdown, rag, search
 from tomegrid.session import shared_dir, ship_package, table, wide_table, write_shared
 from tomegrid.sources import docx, files
@@ -31,6 +33,12 @@ def _md(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "md_files")
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder of its own under the shared one."""
+    ship_package(spark)
+    return f"{shared_dir(spark)}/tomegrid/{name}-{uuid.uuid4().hex}"
+
+
 # --- sources and sinks -------------------------------------------------------------------------------------
 
 
@@ -52,8 +60,8 @@ def doc_lines(spark, d):
 def jsonl_scan(spark, d):
     """Written as JSON Lines and read back through the tolerant schema."""
     c = table(spark, d, "chunked").select("id", "metadata", "content", "created_at")
-    path = f"{shared_dir(spark)}/tomegrid/jsonl-{spark.sparkContext.applicationId}-{abs(hash(d))}"
-    c.write.mode("overwrite").json(path)
+    path = _folder(spark, "jsonl")
+    files.write_chunks(c, path)
     return files.read_chunks(spark, path).select("id", loading.pick_text(F.col("text"), F.col("content")).alias("text"))
 
 
@@ -87,11 +95,30 @@ def table_rows_to_md(spark, d):
 
 @query
 def chunk_sink_roundtrip(spark, d):
-    c = table(spark, d, "chunked")
-    path = f"{shared_dir(spark)}/tomegrid/sink-{spark.sparkContext.applicationId}-{abs(hash(d))}"
-    files.write_chunks(c, path, by=F.coalesce("metadata.source_file", F.lit("none")))
-    back = spark.read.option("basePath", path).schema(c.select("id", "metadata", "content", "created_at").schema.add("file", "string")).json(path)
-    return back.groupBy("file").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length(F.coalesce("content", F.lit("")))).alias("chars"))
+    """Chunks as files and back: the name each file has, its chunks and characters."""
+    path = _folder(spark, "sink")
+    files.write_chunks(table(spark, d, "chunked"), path, ordinal=F.col("row_id"))
+    back = files.read_chunks(spark, path).groupBy("file_name")
+    return back.agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length(F.coalesce("content", F.lit("")))).alias("chars"))
+
+
+@query
+def markdown_tree(spark, d):
+    """The Markdown files written below two folders under equal names, one of them odd, and scanned again to all depths."""
+    path = _folder(spark, "tree")
+    md = _md(spark, d).where(F.col("text").isNotNull() & (F.col("text") != ""))
+    files.write_markdown(md.select(F.explode(F.array(F.lit("a/"), F.lit("b/c +d%/"))).alias("below"), "file_name", "text").select(F.concat("below", "file_name").alias("file_name"), "text"), path)
+    return files.read_markdown(spark, path, recursive=True).select("file_name", F.length("text").alias("chars"), F.md5("text").alias("digest"))
+
+
+@query
+def scan_files(spark, d):
+    """Files found by suffix, at the top only and to all depths."""
+    path = _folder(spark, "scan")
+    named = _md(spark, d).select(F.when(F.crc32("file_name") % 2 == 0, F.concat(F.lit("sub dir/"), "file_name")).otherwise(F.col("file_name")).alias("file_name"), F.lit("x").alias("text"))
+    files.write_markdown(named, path)
+    found = lambda deep: files.scan(spark, path, ".MD", recursive=deep).select(files.name_below(F.col("path"), files.root_of(spark, path)).alias("file_name"), F.lit(deep).alias("recursive"))
+    return found(True).unionByName(found(False))
 
 
 @query
@@ -147,9 +174,10 @@ def md_data_uri_extract(spark, d):
 
 @query
 def data_uri_extract(spark, d):
-    """Each chapter's titles as embedded images of one page; equal bytes get numbered names."""
-    rows = table(spark, d, "toc").groupBy("chapter").agg(F.array_sort(F.collect_list(F.struct("title_id", "title"))).alias("rows"))
-    page = rows.select("chapter", F.array_join(F.transform("rows", lambda r: F.concat(F.lit('<img src="'), _uri(F.substring(r.title, 1, 1)), F.lit('">'))), "").alias("html"))
+    """Each chapter's titles as embedded images of one page, every third one twice; equal bytes get numbered names."""
+    toc = table(spark, d, "toc")
+    rows = toc.unionAll(toc.where("title_id % 3 = 0")).groupBy("chapter").agg(F.array_sort(F.collect_list(F.struct("title_id", "title"))).alias("rows"))
+    page = rows.select("chapter", F.array_join(F.transform("rows", lambda r: F.concat(F.lit('<img src="'), _uri(r.title), F.lit('">'))), "").alias("html"))
     return markdown.html_data_uris(page, key="chapter", text="html")
 
 
@@ -201,6 +229,13 @@ def chunk_documents_strict(spark, d):
     return _lower(chunking.chunk_documents_strict(_md(spark, d)))
 
 
+@query
+def chunk_objects(spark, d):
+    """Chunks in the form they are written in, the time of writing left out."""
+    o = chunking.chunk_objects(chunking.chunk_documents_strict(_md(spark, d)), carry=("doc", "ordinal"))
+    return o.select("doc", "ordinal", "id", "content", F.col("metadata.source_file").alias("source_file"), F.col("metadata.contains_tables").alias("contains_tables"), F.col("metadata.contains_images").alias("contains_images"), F.col("created_at").isNotNull().alias("stamped"))
+
+
 @query
 def context_header(spark, d):
     c = table(spark, d, "chunked").where(F.col("metadata").isNotNull())
@@ -296,7 +331,7 @@ def embed_image_bytes(spark, d):
 def l2_normalize(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.transform(vectors.as_double(F.col("embedding")), lambda x: x * 3 * (F.col("vec_id") % 7)).alias("v"))
     n = vectors.l2_normalize(F.col("v"))
-    return e.select("vec_id", F.round(vectors.norm(n), 6).alias("norm"), F.round(F.element_at(n, 1), 6).alias("first"))
+    return e.select("vec_id", F.posexplode(F.transform(n, lambda x: F.round(x, 6))).alias("pos", "value"))
 
 
 @query
@@ -313,12 +348,16 @@ def _prepared(spark, d):
 
 @query
 def load_chunks(spark, d):
-    """The stored collection, written partitioned by chapter and read back without its vectors."""
+    """The stored collection, written partitioned by chapter and read back; of the vectors, their sizes and the text vector's components."""
     p = _prepared(spark, d).withColumn("chunk_id", loading.pick_chunk_id(F.lit(None).cast("string"), F.col("id"), F.col("chapter"), F.col("row_id"))).withColumnRenamed("row_id", "ordinal")
-    rows = loading.collection_rows(p, embed_text(F.col("text"), partial(HashingEmbedder, TEXT_DIM)), F.array(F.lit(0.0)))
+    rows = loading.collection_rows(p, embed_text(F.col("text"), partial(HashingEmbedder, TEXT_DIM)), F.array_repeat(F.lit(0.0), IMAGE_DIM))
     path = write_shared(loading.clustered(rows), "collection", partition_by=["chapter"])
     back = spark.read.schema(rows.schema).parquet(path)
-    return back.select("chunk_id", "text", _joined("image_paths").alias("image_paths"), "source_file", F.coalesce("chapter", F.lit("")).alias("chapter"), "has_image")
+    parts = F.transform("text_vector", lambda x, i: F.when(x != 0, F.concat_ws(":", i.cast("string"), F.round(x.cast("double") * 1000).cast("bigint").cast("string"))))
+    return back.select(
+        "chunk_id", "text", _joined("image_paths").alias("image_paths"), "source_file", F.coalesce("chapter", F.lit("")).alias("chapter"), "has_image",
+        F.size("image_vector").alias("image_dim"), F.size(F.array_compact(parts)).alias("components"), F.size("text_vector").alias("text_dim"),
+    )
 
 
 @query
