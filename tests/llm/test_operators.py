@@ -51,10 +51,48 @@ def test_documents_empty_and_odd(spark):
     assert tokens.encode_documents(none).collect() == [] and leakage.leaked_items(none, items).collect() == [] and leakage.leaked_items(docs, items.limit(0)).collect() == []
 
 
-def test_large_item_sets_go_in_blocks(spark):
-    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(20)], "doc_id BIGINT, text STRING")
-    items = docs.select(F.col("doc_id").alias("item_id"), "text")
-    assert sorted((r.doc_id, r.item_id) for r in leakage.leaked_items(docs, items, max_items=3).collect()) == [(i, i) for i in range(20)]
+def test_large_item_sets_are_joined(spark):
+    """Items of any number meet the documents by hash; repeated documents and null ids keep their rows."""
+    docs = spark.createDataFrame([(i if i else None, " ".join(f"w{i}x{j}" for j in range(30))) for i in [*range(20), 7, 0]], "doc_id BIGINT, text STRING")
+    items = docs.select(F.coalesce("doc_id", F.lit(99)).alias("item_id"), "text").distinct()
+    sent, joined = (sorted(map(tuple, leakage.leaked_items(docs, items, max_pieces=n).collect()), key=str) for n in (leakage.MAX_PIECES, 1))
+    assert sent == joined and len(joined) == 22 and {r[2] for r in joined} == {0}
+
+
+@pytest.mark.parametrize("errors", [0, 1, 2, 3])
+def test_leaks_against_brute_force(spark, errors):
+    """Every document and item with a window within so many word edits, and no other; the least distance."""
+    rnd = random.Random(errors)
+    items = [[rnd.choice("abcdefgh") + str(rnd.randint(0, 3)) for _ in range(rnd.randint(10, 24))] for _ in range(12)]
+    docs = []
+    for _ in range(60):
+        w = list(rnd.choice(items))
+        a = rnd.randint(0, max(0, len(w) - 12))
+        w = w[a : a + rnd.randint(11, 16)]
+        for _ in range(rnd.randint(0, 4)):
+            at = rnd.randrange(len(w))
+            w[at : at + rnd.randint(0, 1)] = [rnd.choice("xyz")] * rnd.randint(0, 1)
+        docs.append([rnd.choice("pq") for _ in range(rnd.randint(0, 4))] + w + [rnd.choice("pq") for _ in range(rnd.randint(0, 4))])
+
+    def distance(p, t):
+        row = [0] * (len(t) + 1)
+        for i, x in enumerate(p, 1):
+            new = [i]
+            for j, y in enumerate(t, 1):
+                new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+            row = new
+        return min(row)
+
+    want = {}
+    for d, t in enumerate(docs):
+        for i, item in enumerate(items):
+            best = min((distance(item[k : k + 12], t) for k in range(len(item) - 11)), default=99)
+            if best <= errors:
+                want[d, i] = best
+    table = lambda rows, key: spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], f"{key} BIGINT, text STRING")
+    for n in (leakage.MAX_PIECES, 1):
+        got = leakage.leaked_items(table(docs, "doc_id"), table(items, "item_id"), errors=errors, max_pieces=n).collect()
+        assert {(r.doc_id, r.item_id): r.distance for r in got} == want and len(got) == len(want) > 5
 
 
 def test_myers_against_dynamic_programming():

@@ -63,7 +63,7 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = leakage.leaked_items(wide_table(spark, sf_dir, "documents"), table(spark, sf_dir, "exam_items"))
-    return hits.where(F.col("exact_run") >= leakage.WINDOW).select("doc_id", "item_id")
+    return hits.where(F.col("distance") == 0).select("doc_id", "item_id")
 
 
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
