@@ -120,13 +120,36 @@ def test_ledger_is_incremental(spark, tmp_path):
     book = ledger.CopyLedger(spark, f"file://{tmp_path}/book", buckets=4)
     a = chunks(spark, ["Г. П.\nОдин два.", "П. Г.\n\nодин — ДВА", "Г. П.\nОдин три.", None, "Г.\n..."])
     b = chunks(spark, ["г.  п. \nодин  два!", "Г. П.\nпять"], first=100)
-    book.merge(ledger.keyed(a, buckets=4))
+    book.merge(ledger.keyed(a))
     assert sorted((r.kept_id, r.copies) for r in book.rows().collect()) == [(1, 2), (3, 1)]
-    book.merge(ledger.keyed(b, buckets=4))
-    book.merge(ledger.keyed(b.limit(0), buckets=4))
+    book.merge(ledger.keyed(b))
+    book.merge(ledger.keyed(b.limit(0)))
     assert sorted((r.kept_id, r.copies) for r in book.rows().collect()) == [(1, 3), (3, 1), (101, 1)]
 
 
+def test_ledger_compacts_and_keeps_its_base_in_place(spark, tmp_path, monkeypatch):
+    """Many batches against plain counting; reading exchanges the deltas only, never the base."""
+    monkeypatch.setattr(ledger, "MAX_DELTAS", 3)
+    monkeypatch.setattr(ledger, "KEYS_PER_BUCKET", 20)
+    book, rnd, want = ledger.CopyLedger(spark, f"file://{tmp_path}/book", buckets=2), random.Random(7), {}
+    for n, size in enumerate([25, 25, 3, 4, 25, 5, 25, 3]):
+        texts = [f"Г.\nслово {rnd.randint(0, 60)}" for _ in range(size)]
+        for i, t in enumerate(texts):
+            old = want.get(t, (10**9, 0))
+            want[t] = (min(old[0], 1000 * (9 - n) + i), old[1] + 1)
+        book.merge(ledger.keyed(chunks(spark, texts, first=1000 * (9 - n))))
+    assert sorted((r.kept_id, r.copies) for r in book.rows().collect()) == sorted(want.values())
+    told = book._manifest()
+    assert told["buckets"] > 2 and 0 < len(told["deltas"]) <= 3
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = book.rows()._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "FullOuter" in plan and plan.count("Exchange hashpartitioning") == 1
+    book.compact()
+    assert book._manifest()["deltas"] == [] and sorted((r.kept_id, r.copies) for r in book.rows().collect()) == sorted(want.values())
+
+
 def test_ledger_follows_a_stream(spark, tmp_path):
     source = str(tmp_path / "in")
     chunks(spark, ["Г. П.\nОдин два.", "П. Г.\nодин — ДВА"]).write.parquet(source)
@@ -136,7 +159,7 @@ def test_ledger_follows_a_stream(spark, tmp_path):
     chunks(spark, ["Г. П.\nОдин, два"], first=50).write.mode("append").parquet(source)
     book.follow(stream(), str(tmp_path / "c"))
     assert [(r.kept_id, r.copies) for r in book.rows().collect()] == [(1, 3)]
-    book.merge(ledger.keyed(chunks(spark, ["Г. П.\nОдин, два"]), buckets=4), 0)  # a replayed batch
+    book.merge(ledger.keyed(chunks(spark, ["Г. П.\nОдин, два"])), 0)  # a replayed batch
     assert [r.copies for r in book.rows().collect()] == [3]
 
 

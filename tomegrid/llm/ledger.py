@@ -1,11 +1,13 @@
 """Duplicates hidden by formatting: an incremental ledger of canonical-key counts.
 
 The canonical key of a chunk is a 128-bit digest of the words of its body, in order, and of its header's
-fields, in any order. The ledger is a Parquet table split into a fixed number of key buckets. A batch is
-aggregated to one row per key (map-side first, so a key that holds a third of all rows costs one row per
-task), full-outer-joined with the stored rows of the buckets it touches, and only those buckets are written
-again, as a new generation; a manifest of at most ``buckets`` entries names the current generation of each.
-A reader sees either the old or the new manifest, so a job that dies half-way leaves the ledger as it was.
+fields, in any order. The ledger is a Parquet table bucketed by key, its base, and the aggregates of batches since, its
+deltas. A batch is aggregated to one row per key (map-side first, so a key that holds a third of all rows costs one row
+per task) and appended as a delta, so what it costs goes by its own size. Reading full-outer-joins the base with the
+deltas' rows of the matching buckets, adding counts and keeping the earliest representative; the base is stored in its
+buckets, so only the deltas are exchanged. Once the deltas hold a share of the base's keys, or are many, the same join is written as the
+new base, with more buckets if its keys ask for them. Each generation is written aside; a manifest, made current by a rename, names
+the base and its deltas, so a job that dies half-way leaves the ledger as it was.
 
 Defined results: null content and bodies without a word are left out; equal rows count once each; an empty
 batch changes nothing; extra columns are ignored; the kept row is the smallest id (no ties, ids are unique;
@@ -15,15 +17,17 @@ where ids repeat, each row counts).
 from __future__ import annotations
 
 import json
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomegrid.llm.text import body, header_fields, word_string
-from tomegrid.session import shared_dir, write_shared
+from tomegrid.session import cut, shared_dir
 
-BUCKETS = 32
+#: Keys a bucket holds at most after a compaction, the share of the base that deltas may reach, and how many there may be, before one.
+KEYS_PER_BUCKET, COMPACT_SHARE, MAX_DELTAS = 1_000_000, 0.25, 16
 
 
 def copy_key(content: Column) -> Column:
@@ -33,112 +37,128 @@ def copy_key(content: Column) -> Column:
     return F.when(words != "", F.unhex(F.md5(plain)))
 
 
-def keyed(chunks: DataFrame, *, buckets: int = BUCKETS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(row_id, key, bucket) of the rows that have a key, plus the named extra columns."""
+def keyed(chunks: DataFrame, *, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(row_id, key) of the rows that have a key, plus the named extra columns."""
     got = chunks.where(F.col("content").isNotNull()).select("row_id", copy_key(F.col("content")).alias("key"), *carry)
-    return got.where(F.col("key").isNotNull()).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
+    return got.where(F.col("key").isNotNull())
 
 
 class CopyLedger:
-    """Counts of canonical keys over all batches merged so far."""
+    """Counts of canonical keys over all batches merged so far. ``buckets`` is the number it starts with."""
 
-    SCHEMA = "key BINARY, kept_id BIGINT, copies BIGINT, bucket INT"
+    SCHEMA = "key BINARY, kept_id BIGINT, copies BIGINT"
 
-    def __init__(self, spark: SparkSession, path: str, *, buckets: int = BUCKETS):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, path: str, *, buckets: int | None = None):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.buckets = buckets or 2 * spark.sparkContext.defaultParallelism
 
     def _files(self):
         """Hadoop file system of the ledger, and its manifest folder."""
         root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
         return root.getFileSystem(self.spark._jsc.hadoopConfiguration()), root
 
-    def _manifest(self) -> tuple[int, dict[int, int], int]:
-        """Last generation, the generation that holds each bucket, and the last stream batch merged."""
+    def _manifest(self) -> dict:
+        """What is current: number, next generation, base, its buckets and keys, deltas (generation, keys), last stream batch."""
         fs, root = self._files()
         done = [int(n[:-5]) for s in (fs.listStatus(root) if fs.exists(root) else ()) if (n := s.getPath().getName()).endswith(".json")]
         if not done:
-            return -1, {}, -1
+            return {"at": -1, "next": 0, "base": None, "buckets": self.buckets, "keys": 0, "deltas": [], "batch": -1}
         stream = fs.open(self.spark._jvm.org.apache.hadoop.fs.Path(root, f"{max(done)}.json"))
-        told = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))  # at most `buckets` entries
+        told = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))  # a line for each delta
         stream.close()
-        return max(done), {int(b): g for b, g in told["at"].items()}, told["batch"]
+        return told | {"at": max(done)}
 
-    def _publish(self, gen: int, at: dict[int, int], batch: int) -> None:
-        """Make a generation current: the manifest appears whole, by a rename."""
+    def _publish(self, told: dict) -> None:
+        """Make a state current: the manifest appears whole, by a rename."""
         fs, root = self._files()
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        out = fs.create(path(root, f"{gen}.tmp"), True)
-        out.write(bytearray(json.dumps({"at": at, "batch": batch}).encode()))
+        path, at = self.spark._jvm.org.apache.hadoop.fs.Path, told["at"] + 1
+        out = fs.create(path(root, f"{at}.tmp"), True)
+        out.write(bytearray(json.dumps(told | {"at": at}).encode()))
         out.close()
-        if not fs.rename(path(root, f"{gen}.tmp"), path(root, f"{gen}.json")):
-            raise RuntimeError(f"another writer has made generation {gen} of {self.path}")
-
-    def _read(self, at: dict[int, int]) -> DataFrame:
-        """Rows of the given buckets, each from its generation."""
-        empty = self.spark.createDataFrame([], self.SCHEMA)
-        if not at:
-            return empty
-        parts = []
-        for gen in sorted(set(at.values())):
-            own = [f"{self.path}/gen={gen}/bucket={b}" for b, g in at.items() if g == gen]
-            parts.append(self.spark.read.schema(self.SCHEMA).option("basePath", f"{self.path}/gen={gen}").parquet(*own))
-        return reduce(DataFrame.unionByName, parts)
+        if not fs.rename(path(root, f"{at}.tmp"), path(root, f"{at}.json")):
+            raise RuntimeError(f"another writer has made state {at} of {self.path}")
+
+    def _base(self, told: dict) -> DataFrame:
+        """The base as a bucketed table, so that a join on the key needs no exchange of it."""
+        name = f"copy_ledger_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {name} ({self.SCHEMA}) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {told['buckets']} BUCKETS LOCATION '{self.path}/gen={told['base']}'")
+        return self.spark.table(name)
+
+    def _deltas(self, told: dict) -> DataFrame:
+        """One row per key of all deltas."""
+        got = self.spark.read.schema(self.SCHEMA).parquet(*(f"{self.path}/gen={g}" for g, _ in told["deltas"]))
+        return got.groupBy("key").agg(F.min("kept_id").alias("new_id"), F.sum("copies").alias("new_copies"))
+
+    def _joined(self, told: dict) -> DataFrame:
+        if told["base"] is None:
+            return self.spark.createDataFrame([], self.SCHEMA)
+        if not told["deltas"]:
+            return self._base(told)
+        both = self._base(told).join(self._deltas(told), "key", "full_outer")
+        return both.select("key", F.least("kept_id", "new_id").alias("kept_id"), (F.coalesce("copies", F.lit(0)) + F.coalesce("new_copies", F.lit(0))).alias("copies"))
 
     def rows(self) -> DataFrame:
-        """The whole ledger: key, kept_id, copies, bucket."""
-        return self._read(self._manifest()[1])
+        """The whole ledger: key, kept_id, copies."""
+        return self._joined(self._manifest())
+
+    def _write(self, rows: DataFrame, gen: int, buckets: int | None) -> int:
+        """A generation, bucketed or plain; returns its number of rows, from the files' footers."""
+        path = f"{self.path}/gen={gen}"
+        if buckets is None:
+            rows.write.mode("overwrite").parquet(path)
+        else:
+            name = f"copy_ledger_{uuid.uuid4().hex}"
+            rows.repartition(buckets, "key").write.mode("overwrite").bucketBy(buckets, "key").sortBy("key").option("path", path).format("parquet").saveAsTable(name)
+            self.spark.sql(f"DROP TABLE {name}")  # the catalog's entry; the files stay
+        return self.spark.read.schema(self.SCHEMA).parquet(path).count()
 
     def merge(self, batch: DataFrame, batch_id: int | None = None) -> None:
-        """Add a batch of keyed rows (row_id, key, bucket). A stream's batch that is replayed is not added twice."""
-        counts = batch.groupBy("bucket", "key").agg(F.min("row_id").alias("new_id"), F.count(F.lit(1)).alias("new_copies"))
-        last, at, merged_to = self._manifest()
-        if batch_id is not None and batch_id <= merged_to:
+        """Add a batch of keyed rows (row_id, key). A stream's batch that is replayed is not added twice."""
+        told = self._manifest()
+        if batch_id is not None and batch_id <= told["batch"]:
             return
-        touched = {r.bucket for r in batch.select("bucket").distinct().collect()} if at else set(range(self.buckets))
-        if not touched:
+        counts = batch.groupBy("key").agg(F.min("row_id").alias("kept_id"), F.count(F.lit(1)).alias("copies"))
+        gen, first = told["next"], told["base"] is None
+        told |= {"next": gen + 1, "batch": told["batch"] if batch_id is None else batch_id}
+        n = self._write(counts, gen, told["buckets"] if first else None)
+        if first:
+            told |= {"base": gen, "keys": n}
+        elif n:
+            told["deltas"] = [*told["deltas"], [gen, n]]
+        self._publish(told)
+        if len(told["deltas"]) > MAX_DELTAS or sum(k for _, k in told["deltas"]) > max(KEYS_PER_BUCKET, COMPACT_SHARE * told["keys"]):
+            self.compact()
+
+    def compact(self) -> None:
+        """Write base and deltas as a new base; its buckets follow its keys."""
+        told = self._manifest()
+        if not told["deltas"]:
             return
-        old = self._read({b: g for b, g in at.items() if b in touched})
-        merged = (
-            old.join(counts, ["bucket", "key"], "full_outer")
-            .select(
-                "key",
-                F.least("kept_id", "new_id").alias("kept_id"),
-                (F.coalesce("copies", F.lit(0)) + F.coalesce("new_copies", F.lit(0))).alias("copies"),
-                "bucket",
-            )
-            if at
-            else counts.select("key", F.col("new_id").alias("kept_id"), F.col("new_copies").alias("copies"), "bucket")
-        )
-        gen = last + 1
-        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/gen={gen}")
-        fs, root = self._files()
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        held = [b for b in touched if fs.exists(path(f"{self.path}/gen={gen}/bucket={b}"))]
-        self._publish(gen, at | dict.fromkeys(held, gen), merged_to if batch_id is None else batch_id)
+        buckets = max(told["buckets"], -(-(told["keys"] + sum(k for _, k in told["deltas"])) // KEYS_PER_BUCKET))
+        n = self._write(self._joined(told), told["next"], buckets)
+        self._publish(told | {"next": told["next"] + 1, "base": told["next"], "buckets": buckets, "keys": n, "deltas": []})
 
     def follow(self, chunks: DataFrame, checkpoint: str) -> None:
         """Merge a stream of chunks batch by batch to the end of what is there; it can be stopped and taken up again."""
-        add = lambda rows, n: self.merge(keyed(rows, buckets=self.buckets), n)
+        add = lambda rows, n: self.merge(keyed(rows), n)
         chunks.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def collapse(chunks: DataFrame, *, batches: int = 2, buckets: int = BUCKETS) -> DataFrame:
-    """The ledger (key, kept_id, copies, bucket) after feeding the table in ``batches`` by time of arrival.
+def collapse(chunks: DataFrame, *, batches: int = 2, buckets: int | None = None) -> DataFrame:
+    """The ledger (key, kept_id, copies) after feeding the table in ``batches`` by time of arrival.
 
-    Keys are computed in one scan and written once, so a batch reads only its own small rows.
+    Keys are computed in one scan and written once; the span of arrival and the batches come from these small rows.
     Rows without an arrival time come with the first batch.
     """
     spark = chunks.sparkSession
-    source = keyed(chunks, buckets=buckets, carry=("loaded_at",))
-    span = chunks.agg(F.min("loaded_at").alias("lo"), F.max("loaded_at").alias("hi")).first()
+    keys = cut(keyed(chunks, carry=("loaded_at",)), "copy-keys")
+    span = keys.agg(F.min("loaded_at").alias("lo"), F.max("loaded_at").alias("hi")).first()
     if span.lo is None or span.lo == span.hi:
         batch = F.lit(0)
     else:
         width = (span.hi - span.lo) / batches
         batch = reduce(lambda a, b: a + b, [(F.coalesce(F.col("loaded_at") >= F.lit(span.lo + width * i), F.lit(False))).cast("int") for i in range(1, batches)], F.lit(0))
-    path = write_shared(source.select("row_id", "key", "bucket", batch.alias("batch")), "copy-keys", partition_by=["batch"])
-    keys = spark.read.schema("row_id BIGINT, key BINARY, bucket INT, batch INT").parquet(path)
-    ledger = CopyLedger(spark, f"{shared_dir(spark)}/tomegrid/ledger-{path.rsplit('-', 1)[-1]}", buckets=buckets)
+    ledger = CopyLedger(spark, f"{shared_dir(spark)}/tomegrid/ledger-{uuid.uuid4().hex}", buckets=buckets)
     for i in range(batches):
-        ledger.merge(keys.where(F.col("batch") == i).drop("batch"))
+        ledger.merge(keys.where(batch == i).select("row_id", "key"))
     return ledger.rows()
