@@ -34,14 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table for work that is heavy per row: one in fewer pieces than the cluster has cores is spread over them.
+    """A table for work that is heavy per row, spread over ``tomegrid.spread`` partitions where the caller sets that.
 
-    A table of the size this is built for has more pieces than that and is left as it is; filters and
-    column pruning pass through the exchange.
+    A table of the size this is built for has pieces enough, so by default it is read as it lies and no rows move; whoever has a small
+    one in few files and many cores asks for the exchange.
     """
     df = table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    spread = int(spark.conf.get("tomegrid.spread", "0"))
+    return df.repartition(spread) if spread else df
 
 
 def shared_dir(spark: SparkSession) -> str:
