@@ -311,6 +311,28 @@ def test_kinds():
     assert quality.statistics(None) == (None,) * 12
 
 
+def test_open_units_go_by_layout():
+    """Units without marker and predicate: a single one is prose; several short, even, indented ones are a list; sentences are not."""
+    cases = {
+        "3.1.5. Кабельные приводы см. акт № 7836.": "prose",
+        "Щиты в цехах\n  Шины – 5 м\n  Клеммы\nРеле типа PE\n  Муфты – 7 м\n  Вводы": "list",
+        "О приёмке щитов и о порядке их осмотра на станции.\nО том же в отношении кабелей и муфт на станции и в цехах.": "prose",
+        "Номер, имя, дата и подпись": "prose",
+    }
+    for t, kind in cases.items():
+        assert quality.statistics(t)[-1] == kind, t
+
+
+def test_layout_figures():
+    figures = lambda t: dict(zip([x.split(" ")[0] for x in quality.STATISTICS.split(", ")], quality.statistics(t)))
+    steps = figures("\n".join(["щит на опоре", "    ввод в цех"] * 6))
+    assert steps["indent_period"] > 0.9 and steps["autocorrelation"] > 0.9
+    assert figures("\n".join(["щит на опоре"] * 5))["autocorrelation"] == 1.0 and figures("щит")["autocorrelation"] == 0.0
+    rnd = random.Random(3)
+    assert figures("\n".join("щ" * rnd.randint(1, 80) for _ in range(200)))["autocorrelation"] < 0.3
+    assert quality.autocorrelation([1, 2, 3, 1, 2, 3, 1, 2, 3]) > 0.9
+
+
 def test_streaming_bpe():
     own = tokens.transducer(tokens.VOCABULARY)
     tiktoken = pytest.importorskip("tiktoken")

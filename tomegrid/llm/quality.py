@@ -3,9 +3,11 @@
 Every non-blank line of a body is read as prose, table row, list entry or junk; the body's kind is what most of its
 lines are. Tables show by vertical alignment: the same delimiter (pipe, box line, tab, semicolon or a run of spaces) cuts most
 lines into the same number of short cells. Junk shows by its signs, digits, repeats, keyboard runs or wrongly decoded
-letters. A list entry is marked or short and has no predicate; lines of hard-wrapped sentences are joined before they
-are read. Indentation periodicity and the autocorrelation of line lengths (high for entries of one make, low for
-prose) decide what the lines alone leave open.
+letters. What is left is joined into units (lines of hard-wrapped sentences are one). A unit with a predicate is prose, a
+marked one without is a list entry. Units that leave it open, neither marked nor with a predicate, are judged together by the layout and the
+ratios of the body: short words counts, the periodicity of the indentation and the regularity and autocorrelation of the
+lengths speak for a list; ends of sentences, common words and signs speak against it (``open_score``). A list has two units at least: a
+single open one is prose.
 
 Defined results: null content gives null statistics; an empty body has zero counts and kind 'prose'; bodies with fewer than
 ``MIN_CHARS`` non-blank characters get kind 'prose' too (nothing to tell); ties go to prose, then table, list, junk;
@@ -20,7 +22,6 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +45,7 @@ _MARKER = re.compile(r"^\s*(?:[-–—*•·▪◦‣+>]|\(?\d{1,3}[.)]|\(?[^\W\
 _IMAGE = re.compile(r"!\[[^\]]*\]\([^)]*\)")
 _HEADING = re.compile(r"^\s*#")
 _RULE = re.compile(r"^[\s|│┼─\-:+=]+$")
+_STOP = re.compile(r"[.!?…:;][\"'»)\]*_]*\s*$")
 _END = re.compile(r"[.!?…:][\"'»)\]*_]*\s*$")
 #: Predicates: reflexives, short participles, infinitives, present forms, modal words (a rule, not a word list).
 _PREDICATE = re.compile(
@@ -63,7 +65,6 @@ _GAP = re.compile(r"\s{2,}")
 
 _UNUSUAL = re.compile(r"[^\t\n\r -~а-яА-ЯёЁ–—«»°²№…•│]")
 _MIXED = re.compile(r"[a-zA-ZͰ-Ͽ]")
-_CYRILLIC = re.compile(r"[а-яА-ЯёЁ]")
 
 
 def readable(text: str) -> str:
@@ -74,12 +75,27 @@ def readable(text: str) -> str:
     return text
 
 
+class _Predicates(dict):
+    """word -> its length if it is a predicate, else 0, look-alike letters read as Russian ones; emptied when full."""
+
+    def __missing__(self, w: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        found = _PREDICATE.fullmatch(w) or (_MIXED.search(w) and _PREDICATE.fullmatch(w.translate(TO_CYRILLIC)))
+        n = self[w] = len(w) if found else 0
+        return n
+
+
+_PREDICATES = _Predicates()
+_RUN = re.compile(r"\w+")
+
+
 def predicate_length(line: str) -> int:
     """Letters of the first predicate found, 0 where there is none."""
-    m = _PREDICATE.search(line)
-    if m is None and _MIXED.search(line) and _CYRILLIC.search(line):
-        m = _PREDICATE.search(line.translate(TO_CYRILLIC))
-    return len(m.group()) if m else 0
+    for w in _RUN.findall(line):
+        if n := _PREDICATES[w]:
+            return n
+    return 0
 
 
 def cells(line: str, delimiter: str) -> list[str]:
@@ -119,23 +135,60 @@ def is_junk(line: str, spoken: bool = False) -> bool:
     return False
 
 
+def autocorrelation(x: list[int], lags: int = 4) -> float:
+    """The highest autocorrelation of a sequence at lags 1 to ``lags``, 0 at least; 1 where nothing varies."""
+    n = len(x)
+    if n < 3:
+        return 0.0
+    mean = sum(x) / n
+    d = [v - mean for v in x]
+    total = sum(v * v for v in d)
+    if not total:
+        return 1.0
+    return max(0.0, *(sum(d[i] * d[i + k] for i in range(n - k)) / total * n / (n - k) for k in range(1, min(lags, n - 2) + 1)))
+
+
 def indentation_period(lines: list[str]) -> float:
-    """Share of lines whose indentation is that of the most frequent non-zero step, 0 where nothing is indented."""
+    """Periodicity of the indentation: its autocorrelation, 0 where nothing is indented."""
     indents = [len(x) - len(x.lstrip()) for x in lines]
-    steps = Counter(i for i in indents if i)
-    return steps.most_common(1)[0][1] / len(lines) if steps else 0.0
+    return min(1.0, autocorrelation(indents)) if any(indents) else 0.0
 
 
 def length_autocorrelation(lines: list[str]) -> float:
-    """Lag-one autocorrelation of line lengths about half their mean square; 1 where all lines are alike."""
-    if len(lines) < 3:
+    """Autocorrelation of the line lengths."""
+    return min(1.0, autocorrelation([len(x) for x in lines]))
+
+
+def length_regularity(lines: list[str]) -> float:
+    """One less the spread of the line lengths about their mean, 0 at least; 0 for fewer than three lines."""
+    n = len(lines)
+    if n < 3:
         return 0.0
-    x = np.array([len(line) for line in lines], dtype=float)
-    spread = x.std() / x.mean()
-    if spread == 0:
-        return 1.0
-    d = x - x.mean()
-    return float(max(0.0, 1 - spread) * 0.5 + 0.5 * (d[:-1] * d[1:]).sum() / (d * d).sum())
+    x = [len(line) for line in lines]
+    mean = sum(x) / n
+    return max(0.0, 1 - (sum((v - mean) ** 2 for v in x) / n) ** 0.5 / mean)
+
+
+#: What speaks for a list (above OPEN_LIST) among units without marker and predicate (stated weights, not fitted): see ``open_score``.
+OPEN_WEIGHTS = {"short": 1.0, "period": 0.25, "autocorrelation": 0.25, "regular": 0.5, "ended": -0.5, "common": -1.0, "signs": -0.5}
+OPEN_LIST = 0.5
+
+
+def open_score(units: list[str], period: float, lengths: float, regular: float) -> float:
+    """How much open units look like entries of a list: their word, sign and punctuation ratios and the body's layout."""
+    words = [_WORD.findall(u.lower()) for u in units]
+    flat = [w for own in words for w in own]
+    shown = sum(len("".join(u.split())) for u in units)
+    given = {
+        "short": sum(sum(not w.isdigit() for w in own) <= 8 for own in words) / len(units),
+        "period": period,
+        "autocorrelation": lengths,
+        "regular": regular,
+        "ended": sum(bool(_END.search(u)) for u in units) / len(units),
+        "common": sum(map(COMMON.__contains__, flat)) / max(1, len(flat)),
+        "signs": (shown - sum(map(len, flat))) / max(1, shown),
+    }
+    return sum(OPEN_WEIGHTS[k] * v for k, v in given.items())
 
 
 def read_lines(text: str) -> tuple[list[str], dict[str, float]]:
@@ -165,7 +218,15 @@ def read_lines(text: str) -> tuple[list[str], dict[str, float]]:
                 aligned = len(rows) / len(lines)
                 for k in rows:
                     kinds[k] = "table"
-    autocorrelation, period = length_autocorrelation(lines), indentation_period(lines)
+    lengths, period, regular = length_autocorrelation(lines), indentation_period(lines), length_regularity(lines)
+    known: list[bool | None] = [None] * len(lines)
+
+    def junk(j: int) -> bool:
+        if known[j] is None:
+            known[j] = is_junk(lines[j], predicate[j] >= 5)
+        return known[j]
+
+    open_: list[tuple[int, int, str]] = []
     # the rest: wrapped lines are joined into units first
     k = 0
     while k < len(lines):
@@ -173,13 +234,13 @@ def read_lines(text: str) -> tuple[list[str], dict[str, float]]:
             k += 1
             continue
         line = lines[k]
-        if is_junk(line, predicate[k] >= 5):
+        if junk(k):
             kinds[k] = "junk"
             k += 1
             continue
         end = k + 1
         marked = bool(_MARKER.match(line))
-        while end < len(lines) and not kinds[end] and idx[end] == idx[end - 1] + 1 and not re.search(r"[.!?…:;][\"'»)\]*_]*\s*$", lines[end - 1]) and not _MARKER.match(lines[end]) and not _HEADING.match(lines[end]) and not is_junk(lines[end], predicate[end] >= 5):
+        while end < len(lines) and not kinds[end] and idx[end] == idx[end - 1] + 1 and not _STOP.search(lines[end - 1]) and not _MARKER.match(lines[end]) and not _HEADING.match(lines[end]) and not junk(end):
             begin = lines[end].lstrip()[:1]
             if not (begin.islower() or begin.isdigit() or begin in "(«\"'") and not (predicate[k] and len(line.split()) >= 6 and len(lines[end - 1]) >= 40):
                 break
@@ -195,16 +256,21 @@ def read_lines(text: str) -> tuple[list[str], dict[str, float]]:
             kind = "prose"
         elif end - k >= 3 and all(len(_ALPHA.findall(x)) <= 8 for x in lines[k:end]):
             kind = "list"  # entries in lower case, taken for wrapped lines above
-        elif marked or len(words) <= 8:
+        elif marked:
             kind = "list" if words else ""
-        elif len(words) <= 12 and autocorrelation > 0.6 and not _END.search(unit):
-            kind = "list"
         else:
-            kind = "prose"
+            kind = ""
+            if words:
+                open_.append((k, end, bare))
         for j in range(k, end):
             kinds[j] = kind
         k = end
-    return kinds, {"aligned": aligned, "autocorrelation": autocorrelation, "indent_period": period}
+    if open_:
+        entries = len(open_) + sum(x == "list" for x in kinds)
+        kind = "list" if entries >= 2 and open_score([u for _, _, u in open_], period, lengths, regular) > OPEN_LIST else "prose"
+        for k, end, _ in open_:
+            kinds[k:end] = [kind] * (end - k)
+    return kinds, {"aligned": aligned, "autocorrelation": lengths, "indent_period": period}
 
 
 def statistics(text: str | None) -> tuple:
