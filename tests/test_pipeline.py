@@ -208,11 +208,23 @@ def test_coarse_index_recall(spark):
     r = rows(spark, *x)
     asked = r.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("query_vector"))
     index = search.CoarseIndex.fit(r, id_col="id", vector="v", cells=8)
-    near = {(a.query_id, a.id) for a in index.search(r, asked, 5, probes=5, id_col="id", vector="v").collect()}
+    near = {(a.query_id, a.id) for a in index.search(index.place(r, id_col="id", vector="v"), asked, 5, probes=5).collect()}
     exact = {(a.query_id, a.id) for a in search.top_k_batch(r, asked, 5, id_col="id", vector="v").collect()}
     assert len(near & exact) >= 0.9 * len(exact)
 
 
+def test_stored_index_reads_probed_cells_only(spark, tmp_path):
+    x = np.random.default_rng(5).normal(size=(200, 8))
+    r = rows(spark, *x)
+    search.CoarseIndex.fit(r, id_col="id", vector="v", cells=6).store(r, str(tmp_path), id_col="id", vector="v")
+    index, placed = search.CoarseIndex.stored(spark, str(tmp_path))
+    assert placed.count() == 200
+    everything = search.top_k(r, x[0].tolist(), 5, vector="v").collect()
+    assert [a.id for a in index.search_one(placed, x[0].tolist(), 5, probes=6).collect()] == [a.id for a in everything]
+    one = index.search_one(placed, x[0].tolist(), 5, probes=1)
+    assert "PartitionFilters: [isnotnull(cell" in one._jdf.queryExecution().executedPlan().toString() and one.first().id == 0
+
+
 def test_embedders(spark):
     df = spark.createDataFrame([("щит на опоре",), ("",), (None,)], "t STRING")
     v = [r[0] for r in df.select(embed_text(F.col("t"), HashingEmbedder)).collect()]

@@ -1,7 +1,7 @@
 """Filtered top-k similarity search: one query, blocks of queries, fusion of two modalities, coarse index, rerank.
 
-A single query is a literal: filter, score projection, TakeOrderedAndProject. Many queries go in blocks of bounded size:
-a block is broadcast, every partition keeps its own top k per query from a matrix product, and the survivors are ranked.
+A single query is a literal: filter, score projection, TakeOrderedAndProject. Many queries are broadcast, BLOCK_BYTES of vectors at
+most in one scan (more go in several), every partition keeps its own top k per query from matrix products, and the survivors are ranked.
 Scores are rounded to six places before they are ranked, ties go to the smaller id.
 """
 
@@ -12,14 +12,15 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from tomegrid.functions.strings import base_name
 from tomegrid.functions.vectors import as_double, cosine, dot, literal, norm
 
-BLOCK = 2048
+#: Bytes of query vectors sent to every task at once, and queries of one matrix product.
+BLOCK_BYTES, TILE = 64 << 20, 2048
 
 
 def one_vector(rows: DataFrame, *, id_col: str, id_value: int, vector: str) -> list[float]:
@@ -54,11 +55,11 @@ def both(*conditions: Column | None) -> Column | None:
     return reduce(lambda a, b: a & b, given) if given else None
 
 
-def top_k_batch(rows: DataFrame, queries: DataFrame, k: int, *, id_col: str, vector: str, query_id: str = "query_id", query_vector: str = "query_vector", block: int = BLOCK) -> DataFrame:
+def top_k_batch(rows: DataFrame, queries: DataFrame, k: int, *, id_col: str, vector: str, query_id: str = "query_id", query_vector: str = "query_vector", block: int | None = None) -> DataFrame:
     """(query_id, id, score, rank) of the k best rows of every query; ids equal to the query's are left out."""
     spark = rows.sparkSession
-    n = queries.count()
-    blocks = max(1, -(-n // block))
+    asked = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(query_vector)).alias("dim")).first()
+    blocks = max(1, -(-asked.n // (block or max(1, BLOCK_BYTES // (8 * max(1, asked.dim or 1))))))
     placed = queries.select(F.col(query_id).alias("q"), as_double(F.col(query_vector)).alias("v"))
     id_type = rows.schema[id_col].dataType.simpleString()
 
@@ -72,18 +73,21 @@ def top_k_batch(rows: DataFrame, queries: DataFrame, k: int, *, id_col: str, vec
             if not len(own):
                 return
             size = np.linalg.norm(m, axis=1)
-            top_id, top_score = np.zeros((len(own), 0), dtype=np.int64), np.zeros((len(own), 0))
+            tiles = [slice(i, i + TILE) for i in range(0, len(own), TILE)]
+            best = [(np.zeros((len(own[t]), 0), dtype=np.int64), np.zeros((len(own[t]), 0))) for t in tiles]
             for b in batches:
                 if not len(b):
                     continue
                 x = np.stack([np.asarray(v, dtype=float) for v in b["v"]])
-                length = size[:, None] * np.linalg.norm(x, axis=1)[None, :]
-                s = np.round(np.divide(m @ x.T, length, out=np.zeros_like(length), where=length > 0), 6)
-                i = b["id"].to_numpy(dtype=np.int64)
-                s[own[:, None] == i[None, :]] = -np.inf
-                score, ident = np.concatenate([top_score, s], axis=1), np.concatenate([top_id, np.broadcast_to(i, s.shape)], axis=1)
-                order = np.lexsort((ident, -score), axis=1)[:, :k]
-                top_score, top_id = np.take_along_axis(score, order, 1), np.take_along_axis(ident, order, 1)
+                i, norms = b["id"].to_numpy(dtype=np.int64), np.linalg.norm(x, axis=1)
+                for at, t in enumerate(tiles):
+                    length = size[t][:, None] * norms[None, :]
+                    s = np.round(np.divide(m[t] @ x.T, length, out=np.zeros_like(length), where=length > 0), 6)
+                    s[own[t][:, None] == i[None, :]] = -np.inf
+                    score, ident = np.concatenate([best[at][1], s], axis=1), np.concatenate([best[at][0], np.broadcast_to(i, s.shape)], axis=1)
+                    order = np.lexsort((ident, -score), axis=1)[:, :k]
+                    best[at] = np.take_along_axis(ident, order, 1), np.take_along_axis(score, order, 1)
+            top_id, top_score = (np.concatenate([x[j] for x in best]) for j in (0, 1))
             if top_id.shape[1]:
                 keep = np.isfinite(top_score)
                 yield pd.DataFrame({query_id: np.repeat(own, keep.sum(1)), id_col: top_id[keep], "score": top_score[keep]})
@@ -174,9 +178,29 @@ class CoarseIndex:
 
         return cells(vector)
 
-    def search(self, rows: DataFrame, queries: DataFrame, k: int, *, probes: int, id_col: str, vector: str) -> DataFrame:
-        """(query_id, id, score, rank): exact scores within the probed cells; joined on the cell, not broadcast."""
-        placed = rows.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), F.element_at(self.nearest(F.col(vector), 1), 1).alias("cell"))
+    def place(self, rows: DataFrame, *, id_col: str, vector: str) -> DataFrame:
+        """(id, v, cell) of every row."""
+        return rows.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), F.element_at(self.nearest(F.col(vector), 1), 1).alias("cell"))
+
+    def store(self, rows: DataFrame, path: str, *, id_col: str, vector: str) -> None:
+        """Write the index: centroids, and every row under its cell, so a search reads the probed cells only. A large cell is written by several tasks."""
+        spark = rows.sparkSession
+        self.place(rows, id_col=id_col, vector=vector).repartitionByRange("cell", "id").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
+        spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(self.centroids)], "cell INT, centroid ARRAY<DOUBLE>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
+
+    @classmethod
+    def stored(cls, spark: SparkSession, path: str) -> tuple["CoarseIndex", DataFrame]:
+        """A written index and its rows (id, v, cell)."""
+        centroids = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()  # one row a cell
+        return cls(np.array([r.centroid for r in centroids], dtype=float)), spark.read.parquet(f"{path}/rows")
+
+    def search_one(self, placed: DataFrame, query: list[float], k: int, *, probes: int) -> DataFrame:
+        """The k best of the probed cells for one query: other cells' files are not read."""
+        cells = np.argsort(-np.round(self.centroids @ np.asarray(query, dtype=float), 9), kind="stable")[:probes]
+        return top_k(placed.where(F.col("cell").isin(*map(int, cells))), query, k, vector="v")
+
+    def search(self, placed: DataFrame, queries: DataFrame, k: int, *, probes: int) -> DataFrame:
+        """(query_id, id, score, rank) of placed rows (see ``place``): exact scores within the probed cells; joined on the cell, not broadcast."""
         asked = queries.select("query_id", "query_vector", F.explode(self.nearest(F.col("query_vector"), probes)).alias("cell"))
         hits = asked.join(placed, "cell").where(F.col("id") != F.col("query_id")).select("query_id", "id", F.round(cosine(F.col("query_vector"), F.col("v")), 6).alias("score"))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id")))

@@ -474,13 +474,27 @@ def hit_snippets(spark, d):
     return search.snippets(h, chars=6)
 
 
+def _ann(spark, d):
+    """(all vectors, every id divisible by 20 as a query, the stored index, its rows)."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    asked = e.where(F.pmod("id", F.lit(20)) == 0).select(F.col("id").alias("query_id"), F.col("v").alias("query_vector"))
+    path = _folder(spark, "index")
+    search.CoarseIndex.fit(e, id_col="id", vector="v", cells=16).store(e, path, id_col="id", vector="v")
+    return e, asked, *search.CoarseIndex.stored(spark, path)
+
+
+@query
+def ann_ivf_hits(spark, d):
+    """The ten best of the probed cells of a stored index."""
+    _, asked, index, placed = _ann(spark, d)
+    return index.search(placed, asked, K, probes=12)
+
+
 @query
 def ann_ivf_recall(spark, d):
     """Recall at 10 of the coarse index against the exact search, for every id divisible by 20."""
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    asked = e.where(F.pmod("id", F.lit(20)) == 0).select(F.col("id").alias("query_id"), F.col("v").alias("query_vector"))
-    index = search.CoarseIndex.fit(e, id_col="id", vector="v", cells=16)
-    near = index.search(e, asked, K, probes=12, id_col="id", vector="v").select("query_id", "id", F.lit(1).alias("hit"))
+    e, asked, index, placed = _ann(spark, d)
+    near = index.search(placed, asked, K, probes=12).select("query_id", "id", F.lit(1).alias("hit"))
     exact = search.top_k_batch(e, asked, K, id_col="id", vector="v").select("query_id", "id")
     return exact.join(near, ["query_id", "id"], "left").groupBy("query_id").agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
 
