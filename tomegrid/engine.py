@@ -62,7 +62,8 @@ class Engine:
         if skip_existing:
             rows = loading.skip_existing(rows, self.collection.rows())
         first = self.collection.rows().agg(F.coalesce(F.max("id") + 1, F.lit(0))).first()[0]
-        self.collection.append(loading.collection_rows(rows, embed_text(F.col("text"), self.make), F.col("image_vector"), id_=F.col("ordinal") + F.lit(first)))
+        placed = loading.clustered(rows, within="ordinal")
+        self.collection.append(loading.collection_rows(placed, embed_text(F.col("text"), self.make), F.col("image_vector"), id_=F.col("ordinal") + F.lit(first)), placed=True)
         return loading.load_summary(rows)
 
     def _vector(self, query: str) -> list[float]:

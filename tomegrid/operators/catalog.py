@@ -63,14 +63,15 @@ class Collection:
         self.spark.sql(f"CREATE TABLE {self.name} ({columns}) USING parquet PARTITIONED BY (chapter) COMMENT '{about}'")
         return True
 
-    def append(self, rows: DataFrame, *, skip_existing: bool = False) -> None:
-        """Add collection rows; vectors must have the collection's dimension. Rows already stored can be left out."""
+    def append(self, rows: DataFrame, *, skip_existing: bool = False, placed: bool = False) -> None:
+        """Add collection rows; vectors must have the collection's dimension. Rows already stored can be left out. ``placed`` rows are clustered already."""
         checked = rows.withColumn(
             "text_vector", F.when(F.size("text_vector") == self.dim, F.col("text_vector")).otherwise(F.raise_error(F.lit("text vector of another dimension")))
         )
         new = loading.skip_existing(checked, self.rows()) if skip_existing else checked
         order = [f.name for f in COLLECTION.fields if f.name != "chapter"] + ["chapter"]
-        loading.clustered(new.select(*order)).write.insertInto(self.name)
+        new = new.select(*order)
+        (new if placed else loading.clustered(new)).write.insertInto(self.name)
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.name).select(*COLLECTION.fieldNames())

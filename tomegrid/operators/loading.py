@@ -69,7 +69,10 @@ def collection_rows(chunks: DataFrame, text_vector: Column, image_vector: Column
 
 
 def clustered(rows: DataFrame, *, by: str = "chapter", within: str = "id") -> DataFrame:
-    """Rows placed for a write partitioned by chapter: ranges of (chapter, id), so a chapter has as many tasks as its share of the rows and a small one a single file."""
+    """Rows placed for a write partitioned by chapter: ranges of (chapter, id), so a chapter has as many tasks as its share of the rows and a small one a single file.
+
+    The ranges are found by a pass over the rows, so rows are best placed before their vectors are computed.
+    """
     return rows.repartitionByRange(by, within)
 
 

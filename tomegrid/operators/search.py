@@ -21,6 +21,8 @@ from tomegrid.functions.vectors import as_double, cosine, dot, literal, norm
 
 #: Bytes of query vectors sent to every task at once, and queries of one matrix product.
 BLOCK_BYTES, TILE = 64 << 20, 2048
+#: Rows of a cell that one task writes, on average.
+ROWS_PER_PIECE = 500_000
 
 
 def one_vector(rows: DataFrame, *, id_col: str, id_value: int, vector: str) -> list[float]:
@@ -183,9 +185,10 @@ class CoarseIndex:
         return rows.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), F.element_at(self.nearest(F.col(vector), 1), 1).alias("cell"))
 
     def store(self, rows: DataFrame, path: str, *, id_col: str, vector: str) -> None:
-        """Write the index: centroids, and every row under its cell, so a search reads the probed cells only. A large cell is written by several tasks."""
+        """Write the index: centroids, and every row under its cell, so a search reads the probed cells only. A cell is written in pieces of about ROWS_PER_PIECE rows."""
         spark = rows.sparkSession
-        self.place(rows, id_col=id_col, vector=vector).repartitionByRange("cell", "id").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
+        pieces = max(1, -(-rows.count() // (len(self.centroids) * ROWS_PER_PIECE)))
+        self.place(rows, id_col=id_col, vector=vector).repartition("cell", F.pmod(F.xxhash64("id"), F.lit(pieces))).write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
         spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(self.centroids)], "cell INT, centroid ARRAY<DOUBLE>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
 
     @classmethod

@@ -350,8 +350,8 @@ def _prepared(spark, d):
 def load_chunks(spark, d):
     """The stored collection, written partitioned by chapter and read back; of the vectors, their sizes and the text vector's components."""
     p = _prepared(spark, d).withColumn("chunk_id", loading.pick_chunk_id(F.lit(None).cast("string"), F.col("id"), F.col("chapter"), F.col("row_id"))).withColumnRenamed("row_id", "ordinal")
-    rows = loading.collection_rows(p, embed_text(F.col("text"), partial(HashingEmbedder, TEXT_DIM)), F.array_repeat(F.lit(0.0), IMAGE_DIM))
-    path = write_shared(loading.clustered(rows), "collection", partition_by=["chapter"])
+    rows = loading.collection_rows(loading.clustered(p, within="ordinal"), embed_text(F.col("text"), partial(HashingEmbedder, TEXT_DIM)), F.array_repeat(F.lit(0.0), IMAGE_DIM))
+    path = write_shared(rows, "collection", partition_by=["chapter"])
     back = spark.read.schema(rows.schema).parquet(path)
     parts = F.transform("text_vector", lambda x, i: F.when(x != 0, F.concat_ws(":", i.cast("string"), F.round(x.cast("double") * 1000).cast("bigint").cast("string"))))
     return back.select(
