@@ -81,6 +81,8 @@ ORACLES |= {
     "table_rows_to_md": "SELECT chapter, '| N | Название |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || title_id || ' | ' || replace(title, chr(10), '<br>') || ' |', chr(10) ORDER BY title_id) AS md FROM toc GROUP BY chapter",
     "chunk_sink_roundtrip": r"SELECT regexp_replace(coalesce(metadata.source_file, 'none'), '\.md$', '') || '.chunked.jsonl' AS file_name, count(*) AS chunks, sum(length(coalesce(content, '')))::BIGINT AS chars FROM chunked GROUP BY 1",
     "markdown_tree": r"SELECT b || file_name AS file_name, length(t) AS chars, md5(t) AS digest FROM (SELECT file_name, regexp_replace(text, '\r\n?', chr(10), 'g') || chr(10) AS t FROM md_files WHERE text <> ''), (VALUES ('a/'), ('b/c +d%/')) v(b)",
+    "scan_files": """WITH f AS (SELECT CASE WHEN length(file_name) % 2 = 0 THEN 'sub dir/' || file_name ELSE file_name END AS file_name FROM md_files)
+SELECT file_name, TRUE AS recursive FROM f UNION ALL SELECT file_name, FALSE FROM f WHERE NOT contains(file_name, '/')""",
     "classify_lines": f"WITH {_CLASSIFIED} SELECT doc, pos, kind, coalesce(sd, '') AS set_document, coalesce(ss, '') AS set_section, coalesce(sc, '') AS set_chapter, coalesce(sp, '') AS set_paragraph, coalesce(sl, '') AS set_clause FROM c2",
     "carry_forward_metadata": f"WITH {_CARRIED} SELECT doc, pos, kind, document, section, chapter, paragraph, clause FROM c5",
     "chunk_documents": f"WITH {_CHUNKS}",
@@ -93,6 +95,15 @@ h AS (SELECT *, concat_ws('. ', nullif(document, ''), nullif(section, ''), nulli
 SELECT doc, ordinal, CASE WHEN clause <> '' THEN 'pue_' || clause || '_' || m WHEN paragraph <> '' THEN 'pue_para_' || paragraph || '_' || m ELSE 'pue_unknown_' || m END AS id,
   CASE WHEN h = '' THEN text ELSE h || '.' || chr(10) || chr(10) || text END AS content, doc AS source_file,
   contains(text, '# Таблица') OR contains(text, '|') AS contains_tables, contains(text, '![') AS contains_images, TRUE AS stamped FROM h"""
+ORACLES["docx_to_md"] = rf"""WITH {_LINES},
+m AS (SELECT doc, pos, trim(regexp_replace(line, '[\s\x{{00A0}}]+', ' ', 'g')) AS x FROM lines)
+SELECT f.file_name AS doc, coalesce(string_agg(x, chr(10) || chr(10) ORDER BY pos), '') AS text
+FROM md_files f LEFT JOIN m ON m.doc = f.file_name AND x <> '' AND NOT regexp_matches(x, '^#{{1,6}}$') WHERE f.text IS NOT NULL GROUP BY f.file_name"""
+ORACLES["html_to_markdown"] = rf"""WITH {_LINES},
+m AS (SELECT doc, pos, trim(regexp_replace(line, '[\s\x{{00A0}}]+', ' ', 'g')) AS x FROM lines)
+SELECT f.file_name, '# ' || f.file_name || coalesce(string_agg(chr(10) || chr(10) || x, '' ORDER BY pos), '') AS md
+FROM md_files f LEFT JOIN m ON m.doc = f.file_name AND x <> '' WHERE f.text IS NOT NULL GROUP BY f.file_name
+UNION ALL SELECT file_name, NULL FROM md_files WHERE text IS NULL"""
 _REFS = rf"""
 SELECT DISTINCT doc, ref FROM (
   SELECT file_name AS doc, {_strip("unnest(regexp_extract_all(text, '!\\[[^\\]]*\\]\\(([^)]+)\\)', 1))").replace(chr(92) * 2, chr(92))} AS ref FROM md_files)

@@ -115,7 +115,7 @@ def markdown_tree(spark, d):
 def scan_files(spark, d):
     """Files found by suffix, at the top only and to all depths."""
     path = _folder(spark, "scan")
-    named = _md(spark, d).select(F.when(F.crc32("file_name") % 2 == 0, F.concat(F.lit("sub dir/"), "file_name")).otherwise(F.col("file_name")).alias("file_name"), F.lit("x").alias("text"))
+    named = _md(spark, d).select(F.when(F.length("file_name") % 2 == 0, F.concat(F.lit("sub dir/"), "file_name")).otherwise(F.col("file_name")).alias("file_name"), F.lit("x").alias("text"))
     files.write_markdown(named, path)
     found = lambda deep: files.scan(spark, path, ".MD", recursive=deep).select(files.name_below(F.col("path"), files.root_of(spark, path)).alias("file_name"), F.lit(deep).alias("recursive"))
     return found(True).unionByName(found(False))
